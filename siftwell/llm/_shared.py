@@ -119,14 +119,32 @@ def group_starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), len(frame))
 
 
-def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, *, key: str, ident: str, most: int) -> DataFrame:
+def small_pairs(cuts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs inside the groups of at most ``most`` rows, all groups at once, one distance after another."""
+    sizes = np.diff(cuts)
+    ends = np.repeat(np.where(sizes <= most, cuts[1:], 0), sizes)
+    rows = np.flatnonzero(ends > np.arange(len(ends)) + 1)
+    step = 1
+    while len(rows):
+        yield rows, rows + step
+        step += 1
+        rows = rows[rows + step < ends[rows]]
+
+
+def large_groups(cuts: np.ndarray, most: int) -> list[tuple[int, int]]:
+    big = np.flatnonzero(np.diff(cuts) > most)
+    return [(int(cuts[k]), int(cuts[k + 1])) for k in big]
+
+
+def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, *, key: str, ident: str, most: int) -> DataFrame:
     """Compare the rows that share ``key`` without ever holding an unbounded bucket.
 
     Buckets of one row are dropped.  A bucket of more than ``most`` rows is dealt by
     a hash of ``ident`` into chunks of about ``most`` rows, and every pair of chunks
-    becomes a task group of its own, so each pair of rows still meets once.
-    ``within(frame, side)`` sees one group; ``side`` is 0 for a row of the first
-    chunk, 1 for one of the second, and all 0 when a chunk meets itself.
+    becomes a task group of its own, so each pair of rows still meets.
+    ``within(frame, cuts, side)`` sees whole groups (row offsets in ``cuts``); rows of
+    a group compare only where their ``side`` differs (the second chunk has side 1), or
+    with all others where the group has but one side (-1: a chunk that meets itself).
     """
     crowd = stash(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     dealt = (
@@ -142,22 +160,20 @@ def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray], pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in contiguous_groups(batches, keys):
-            cuts = group_starts(frame, keys)
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1:
-                    part = frame.iloc[a:b]
-                    side = (part["_s"].to_numpy() != part["_i"].to_numpy()).astype(np.int8)
-                    if part["_i"].iat[0] == part["_j"].iat[0] or 0 < side.sum() < len(side):
-                        made = within(part, side)
-                        if len(made):
-                            out.append(made)
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            first = frame["_i"].to_numpy()
+            side = np.where(first == frame["_j"].to_numpy(), -1, frame["_s"].to_numpy() != first).astype(np.int8)
+            made = within(frame, group_starts(frame, keys), side)
+            if len(made):
+                yield made
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys, ident).mapInPandas(run, schema)
 
 
+def may_meet(side: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows of one group are to be compared."""
+    return (side[i] < 0) | (side[i] != side[j])
+
+
 def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Union the linked positions; ``labels`` always holds the smallest position of each class."""
     while True:
