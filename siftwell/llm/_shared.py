@@ -136,7 +136,7 @@ def large_groups(cuts: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [(int(cuts[k]), int(cuts[k + 1])) for k in big]
 
 
-def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, *, key: str, ident: str, most: int) -> DataFrame:
+def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, *, key: str, ident: str, most: int, payload: DataFrame | None = None) -> DataFrame:
     """Compare the rows that share ``key`` without ever holding an unbounded bucket.
 
     Buckets of one row are dropped.  A bucket of more than ``most`` rows is dealt by
@@ -145,6 +145,7 @@ def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.
     ``within(frame, cuts, side)`` sees whole groups (row offsets in ``cuts``); rows of
     a group compare only where their ``side`` differs (the second chunk has side 1), or
     with all others where the group has but one side (-1: a chunk that meets itself).
+    ``payload`` (one row for each ``ident``) is attached to rows of shared buckets only.
     """
     crowd = stash(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     dealt = (
@@ -156,6 +157,8 @@ def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.
         .withColumn("_j", F.greatest("_s", "_o"))
         .drop("_n", "_c", "_o")
     )
+    if payload is not None:
+        dealt = dealt.join(payload, ident)
     keys = [key, "_i", "_j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

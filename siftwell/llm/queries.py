@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, decontaminate, license_scan, packing, pii, quality, simhash, toxicity
+from siftwell.llm import chat_format, decontaminate, embedding_dedup, license_scan, packing, pii, quality, simhash, toxicity
 from siftwell.llm._labelled import fold
 
 
@@ -82,6 +82,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -139,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
