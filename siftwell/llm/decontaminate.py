@@ -195,28 +195,55 @@ def item_blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]
         yield held
 
 
+def _leaks_of(ids: np.ndarray, index: Index, least: float) -> list[tuple]:
+    """``(share, first word, last word, item_id)`` of every item that ``ids`` hold a copy of."""
+    at, gram = index.find(ids)
+    best: dict[int, tuple] = {}
+    if len(at):
+        for item, a, b in _candidates(at, gram, index):
+            a, b = max(0, a), min(len(ids), b)
+            item_id, own = index.items[item]
+            passage = ids[a:b]
+            score, end = align(own, passage)
+            share = score / (MATCH * len(own))
+            if share >= least and share > best.get(item, (0.0,))[0]:
+                _, back = align(own[::-1], passage[:end][::-1])
+                best[item] = (share, a + end - back, a + end - 1, item_id)
+    return list(best.values())
+
+
 def _matcher(index: Index, least: float):
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners = batch.column("doc_id")
             rows: list[tuple] = []
             for first, texts in text_chunks(batch, "text"):
                 for k, ids in enumerate(_coded(texts, index.words)):
-                    at, gram = index.find(ids)
-                    if not len(at):
-                        continue
-                    best: dict[int, tuple] = {}
-                    for item, a, b in _candidates(at, gram, index):
-                        a, b = max(0, a), min(len(ids), b)
-                        item_id, own = index.items[item]
-                        passage = ids[a:b]
-                        score, end = align(own, passage)
-                        share = score / (MATCH * len(own))
-                        if share >= least and share > best.get(item, (0.0,))[0]:
-                            _, back = align(own[::-1], passage[:end][::-1])
-                            best[item] = (share, a + end - back, a + end - 1, item_id)
-                    rows.extend((owners[first + k].as_py(), item_id, share, a, b) for share, a, b, item_id in best.values())
+                    rows.extend((owners[first + k].as_py(), item_id, share, a, b) for share, a, b, item_id in _leaks_of(ids, index, least))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+
+    return run
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, rare: float = RARE, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that hold a copy of no item, all columns untouched: a filter, nothing is joined.
+
+    Every row is judged by itself, whether it has a doc_id or not; an empty benchmark keeps all.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = docs
+    for part in item_blocks(items, block):
+        out = out.mapInArrow(_filter(seeds(part, docs, rare), least), kinds)
+    return out
+
+
+def _filter(index: Index, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [not _leaks_of(ids, index, least) for _, texts in text_chunks(batch, "text") for ids in _coded(texts, index.words)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, decontaminate, embedding_dedup, license_scan, packing, pii, quality, simhash, toxicity
+from siftwell.llm import chat_format, decontaminate, embedding_dedup, license_scan, packing, pii, quality, simhash, substring_dedup, toxicity
 from siftwell.llm._labelled import fold
 
 
@@ -33,6 +33,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs)
@@ -138,6 +142,7 @@ FROM marked GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op9_quality_classifier": op9_quality_classifier,

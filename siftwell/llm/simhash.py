@@ -164,3 +164,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     found = components(fingerprint_links(distinct))
     named = stash(distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return made.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document names its group; rows without a doc_id stay, rows that share one stay or go together."""
+    groups = simhash_groups(docs).where("doc_id is not null")
+    gone = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -217,3 +217,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Model:
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
     return train(labelled_sample(docs, labels, "toxic", folds=folds, held_out=held_out, per_class=per_class))
+
+
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``least``; columns are untouched."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return score_documents(docs, model).where(F.col("score") < least).select(*columns)
