@@ -11,6 +11,7 @@ keeps every scan linear in the text, however long a run of digits or letters is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -135,18 +136,25 @@ def mask_pii(docs: DataFrame, *, text: str = "text", least: float = 0.5, window:
     own = F.col(text)
     for k in KINDS:
         found, gaps = _proposed(own, k)
-
-        def put(i: Column, k: Kind = k, found: Column = found, gaps: Column = gaps) -> Column:
-            value, before, after = F.get(found, i), F.get(gaps, i), F.get(gaps, i + 1)
-            near = F.concat(F.right(before, F.lit(window)), F.lit(" "), F.left(after, F.lit(window)))
-            keep = _is_valid(k, value) & (F.lit(k.base) | (F.lit(k.score) + F.when(near.rlike(k.context), k.boost).otherwise(0.0) >= least))
-            return F.concat(before, F.when(keep, F.lit(f"[{k.name.upper()}]")).otherwise(value))
-
+        put = _masker(k, found, gaps, least, window)
         filled = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(found) - 1), put), ""), F.element_at(gaps, -1))
         docs = docs.withColumn(text, F.when(own.rlike(k.needs) & (F.size(found) > 0), filled).otherwise(own))
     return docs
 
 
+def _masker(kind: Kind, found: Column, gaps: Column, least: float, window: int) -> Callable[[Column], Column]:
+    """The i-th gap and what follows it: the match, or its mask where it is confirmed."""
+
+    def put(i: Column) -> Column:
+        value, before, after = F.get(found, i), F.get(gaps, i), F.get(gaps, i + 1)
+        near = F.concat(F.right(before, F.lit(window)), F.lit(" "), F.left(after, F.lit(window)))
+        score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.boost).otherwise(0.0)
+        keep = _is_valid(kind, value) & (F.lit(kind.base) | (score >= least))
+        return F.concat(before, F.when(keep, F.lit(f"[{kind.name.upper()}]")).otherwise(value))
+
+    return put
+
+
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
