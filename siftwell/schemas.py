@@ -6,18 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POST = T.StructType.fromDDL(
-    "poster string, company string, role string, location string, post_date string, job_link string, why_matched string, "
-    "funding_signal string, company_class string, post_url string, post_text string, activity_urn string, "
-    "outbound_links array<string>, link_class string, link_categories array<string>, source_type string, "
-    "poster_headline string, follower_count bigint, poster_verified boolean, engagement map<string,bigint>, days_old double, "
-    "reasons array<string>"
+_KINDS = {
+    "string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "strings": T.ArrayType(T.StringType()), "counts": T.MapType(T.StringType(), T.LongType()),
+}
+
+
+def _shape(**fields: str) -> T.StructType:
+    """Fields by kind; needs no session, so that modules can be imported without one."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for kind, names in fields.items() for name in names.split()])
+
+
+POST = T.StructType(
+    _shape(string="poster company role location post_date job_link why_matched funding_signal company_class post_url post_text activity_urn").fields
+    + _shape(strings="outbound_links").fields
+    + _shape(string="link_class").fields
+    + _shape(strings="link_categories").fields
+    + _shape(string="source_type poster_headline", long="follower_count", boolean="poster_verified", counts="engagement", double="days_old", strings="reasons").fields
 )
-JOB = T.StructType.fromDDL("company string, title string, location string, link string")
-HISTORY = T.StructType.fromDDL(
-    "timestamp string, company string, poster string, poster_employer string, post_url string, intent string, link_class string, "
-    "link_domains array<string>, kept boolean, gate_reason string, author_is_hirer boolean, is_offer_not_request boolean, "
-    "cta_is_application boolean, role_named boolean, user_label string"
+JOB = _shape(string="company title location link")
+HISTORY = T.StructType(
+    _shape(string="timestamp company poster poster_employer post_url intent link_class", strings="link_domains", boolean="kept").fields
+    + _shape(string="gate_reason", boolean="author_is_hirer is_offer_not_request cta_is_application role_named").fields
+    + _shape(string="user_label").fields
 )
 
 #: Output projections.

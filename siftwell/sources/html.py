@@ -46,7 +46,8 @@ def cards(pages: DataFrame, marks: Sequence[str], html: str = "html") -> DataFra
     """One row a card: of several container marks (classes), the one with the most matches on the page counts."""
     found = F.array(*(F.struct(F.regexp_count(html, F.lit(rf'\bclass="[^"]*\b{m}\b')).alias("n"), F.lit(-k).alias("k"), F.lit(m).alias("m")) for k, m in enumerate(marks)))
     best = F.array_max(found)
-    cut = F.split(F.col(html), F.concat(F.lit(r'(?=<\w+[^>]*\bclass="[^"]*\b'), F.col("_best.m"), F.lit(r"\b)")))
+    # a blank in front, so that what precedes the first card is a part even where it is nothing
+    cut = F.split(F.concat(F.lit(" "), F.col(html)), F.concat(F.lit(r'(?=<\w+[^>]*\bclass="[^"]*\b'), F.col("_best.m"), F.lit(r"\b)")))
     parts = pages.withColumn("_best", best).where("_best.n > 0").withColumn("_parts", cut)
     return parts.select(*(c for c in pages.columns if c != html), F.posexplode(F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0)))).alias("card_index", "card"))
 
