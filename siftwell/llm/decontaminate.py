@@ -28,8 +28,8 @@ WORD = re.compile(r"\w+")
 N = 3
 #: Item words indexed in one pass.
 BLOCK = 250_000
-#: Share of the documents up to which an n-gram always counts as rare.
-RARE = 1e-3
+#: Share of the documents, and number of them, up to which an n-gram always counts as rare.
+RARE, FEW = 1e-3, 20
 #: Share of an item's own alignment score from which a document holds a copy.
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -115,7 +115,7 @@ def seeds(items: list[tuple[int, str]], docs: DataFrame, rare: float = RARE) ->
     for k in range(len(index.items)):
         own = order[cuts[k] : cuts[k + 1]]
         if len(own):
-            keep[own] = per_posting[own] <= max(rare * total, 3 * np.quantile(per_posting[own], 0.25))
+            keep[own] = per_posting[own] <= max(FEW, rare * total, 3 * np.quantile(per_posting[own], 0.25))
     return _only(index, keep)
 
 
