@@ -102,7 +102,7 @@ def _score(words: Column, offsets: Column, t: Template, idf: dict[str, float]) -
     def at(o: Column) -> Column:
         return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + F.when((o + p["d"] >= 0) & (F.get(words, F.greatest(o + p["d"], F.lit(0))) == p["w"]), p["x"]).otherwise(0.0))
 
-    return F.coalesce(F.array_max(F.transform(offsets, at)), F.lit(0.0))
+    return F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform(offsets, at)), F.lit(0.0)))
 
 
 def scan_licences(docs: DataFrame, *, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, idf: dict[str, float] | None = None) -> DataFrame:
