@@ -50,7 +50,7 @@ class Hashing:
 
     @cached_property
     def width(self) -> int:
-        return 1 << max(1, (self.size - 1).bit_length())
+        return 1 << max(2, (self.size - 1).bit_length())
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Bucket keys of unit rows: ``(rows, tables, 1 + probes)``, the own bucket first."""
@@ -82,7 +82,7 @@ class Hashing:
 
 def plan_hashing(size: int, count: int, least: float = LEAST, recall: float = RECALL) -> Hashing:
     """Hashes a table by the number of vectors, tables by the chance that a pair at the threshold meets in one."""
-    width = 1 << max(1, (size - 1).bit_length())
+    width = 1 << max(2, (size - 1).bit_length())
     hashes = 2
     while (2 * width) ** hashes < 4 * count and (2 * width) ** (hashes + 1) < 1 << 56:
         hashes += 1
