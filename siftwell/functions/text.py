@@ -30,9 +30,21 @@ def quote(term: str) -> str:
     return r"\s+".join("".join(c if c.isalnum() or c == "_" else "\\" + c for c in p) for p in parts)
 
 
-def term_pattern(*terms: str) -> str:
-    """Whole-word pattern for any of the terms."""
-    return rf"{UNI}(?<!\w)(?:{'|'.join(quote(t) for t in terms)})(?!\w)"
+def term_pattern(term: str) -> str:
+    """Whole-word pattern for a term.
+
+    The look-behind stands after the first character, so that a search compares one
+    character at most places and looks back only where a term may begin.
+    """
+    body = quote(term)
+    first = 2 if body.startswith("\\") else 1
+    head = body[:first]
+    return rf"{UNI}{head}(?<!\w{head}){body[first:]}(?!\w)"
+
+
+def folded_case(text: Column) -> Column:
+    """Lower case, with the two letters that a pattern ignoring case equates with ASCII ones made so."""
+    return F.translate(F.lower(text), "ſı", "si")
 
 
 def quoted(term: Column) -> Column:
@@ -50,14 +62,15 @@ def has_term(text: Column, term: Column) -> Column:
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
     """The terms found, in vocabulary order.
 
-    One alternation decides whether any term is there at all, so a text without hits
-    costs one search and not one for each term.
+    A term's longest word is looked for as plain bytes first; only texts that have it
+    are searched with the pattern.
     """
     terms = [t for t in terms if t.strip()]
     if not terms:
         return no_strings()
-    each = F.array_compact(F.array(*(F.when(text.rlike(term_pattern(t)), F.lit(t)) for t in terms)))
-    return F.when(text.rlike(term_pattern(*terms)), each).otherwise(no_strings())
+    low = folded_case(text)
+    may = lambda t: low.contains(max(t.lower().split(), key=len))
+    return F.array_compact(F.array(*(F.when(may(t) & text.rlike(term_pattern(t)), F.lit(t)) for t in terms)))
 
 
 def sentences(text: Column) -> Column:
