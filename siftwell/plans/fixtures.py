@@ -18,7 +18,9 @@ from siftwell.operators.matching import Vocabulary, candidate_net, funding_menti
 from siftwell.operators.provenance import audit_tokens, engagement_signal, first_party, heuristic_reject, roundup_signals, spam_signals
 from siftwell.operators.search_terms import is_prose
 from siftwell.operators.verdicts import drop_reason, parse_strict, parse_tolerant, salvage, semantic_keep, verdict_source_type
+from siftwell.operators.walks import company_walk, fill_permalinks, gate_batches, haystack, history_rows, is_startup, keyword_posts, label_companies, mention_join, relevance_gate, semantic_gate
 from siftwell.plans.registry import query
+from siftwell.schemas import HISTORY, POST, conform
 from siftwell.sinks.writers import result_row, text_block
 
 
@@ -356,3 +358,79 @@ def fixture_result_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = rows.select("n", F.struct(*rows.columns[1:]).alias("r")).select("n", "r.*")
     made = result_row(flat.drop("n")).withColumn("n", F.when(F.col("company") == "Acme", 1).otherwise(2))
     return made.select(text_block(("company", "role", "why_matched", "post_url", "source_type"), F.col("n"), skip_blank=("source_type",)).alias("block"))
+
+
+def _posts(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """Posts from ``seq, poster, headline, text, url, links, days``."""
+    made = _frame(spark, "seq long, poster string, poster_headline string, post_text string, post_url string, outbound_links array<string>, days_old double", rows)
+    blank = made.withColumns({f.name: F.lit(None).cast(f.dataType) for f in POST if f.name not in made.columns}).na.fill("")
+    return blank.withColumn("link_categories", F.expr("cast(array() as array<string>)"))
+
+
+_ATS = ["https://boards.greenhouse.io/acme/jobs/1"]
+_HIRE = "Acme is hiring an AI intern. We're hiring now, apply here."
+_WALK = [
+    (1, "Asha", "SWE @ Acme", _HIRE, "", _ATS, 2.0),
+    (2, "Asha", "SWE @ Acme", _HIRE.replace(" ", "  "), "", _ATS, 3.0),
+    (3, "Bo", "Writer", "I admire Acme and Zeta Labs.", "", [], 1.0),
+    (4, "Cy", "Writer", _HIRE, "", _ATS, 99.0),
+    (5, "Di", "Writer", "We're hiring an ML intern at Zeta Labs. Apply now.", "", [], None),
+    (6, "Ed", "", "Nothing here", "", [], 1.0),
+    (7, "Fay", "Writer", _HIRE, "", _ATS, 4.0),
+]
+
+
+@query(expected("seq BIGINT, target VARCHAR", [(1, "Acme"), (2, "Acme"), (3, "Acme"), (3, "Zeta Labs"), (4, "Acme"), (5, "Zeta Labs"), (7, "Acme")]))
+def fixture_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mention_join(_posts(spark, _WALK), "seq", haystack(), _frame(spark, "target string", [("Acme",), ("Zeta Labs",), ("Nobody Inc",), ("東京",)]))
+
+
+@query(expected("seq BIGINT, target VARCHAR, stage VARCHAR", [(1, "Acme", "kept"), (3, "Acme", "prefilter"), (3, "Zeta Labs", "prefilter"), (4, "Acme", "too_old"), (5, "Zeta Labs", "kept"), (7, "Acme", "over_limit")]))
+def fixture_company_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _frame(spark, "target string", [("Acme",), ("Zeta Labs",)])
+    return company_walk(_posts(spark, _WALK), targets, keep_undated=True, limit=1).select("seq", "target", "stage")
+
+
+@query(expected("seq BIGINT, stage VARCHAR", [(1, "kept"), (3, "not_hiring"), (4, "too_old"), (5, "undated"), (6, "not_hiring"), (7, "kept")]))
+def fixture_keyword_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_posts(_posts(spark, _WALK)).select("seq", "stage")
+
+
+_GATED = [(1, "kept"), (2, "gate:candidate_seeking"), (3, "gate:blocked_profile"), (4, "gate:invalid_json"), (5, "gate:not_hirer")]
+
+
+@query(expected("seq BIGINT, stage VARCHAR, kept BOOLEAN", [(n, s, s == "kept") for n, s in _GATED]))
+def fixture_semantic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "A", "", "Apply here"), (2, "B", "", "I'm looking for a role"), (3, "Bad", "", "Apply here"), (4, "C", "", "Apply here"), (5, "D", "", "text")]
+    posts = _posts(spark, [(n, p, h, t, f"u{n}", [], 1.0) for n, p, h, t in rows]).withColumns({"company": F.lit("Acme"), "poster_employer": F.lit(""), "author_affiliation_matches_target": F.lit(False)})
+    history = conform(_frame(spark, "company string, poster string, kept boolean", [("Acme", "Bad", False)] * 2), HISTORY)
+    batches = gate_batches(posts, history)
+    flags = {k: F.lit(k in ("role_named", "is_offer_not_request")) for k in ("author_is_hirer", "is_offer_not_request", "cta_is_application", "role_named")}
+    verdicts = batches.where("seq <> 4").select("company", "batch", "id").withColumns(flags | {"intent": F.lit("company_hiring"), "reason": F.lit("r")})
+    gated = semantic_gate(posts, verdicts, history)
+    kept = history_rows(gated, "2024-01-31T00:00:00").select("post_url", "kept")
+    return gated.join(kept, "post_url").select("seq", "stage", "kept")
+
+
+@query(expected("seq BIGINT, rank INTEGER, why_matched VARCHAR", [(2, 0, "gate:keep,source:company; poster:B (ok)"), (1, 3, "gate:keep,source:creator; poster:A; followers:12k")]))
+def fixture_relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _posts(spark, [(1, "A", "12k followers", "t", "", [], 1.0), (2, "B", "", "t", "", [], 1.0), (3, "C", "", "t", "", [], 1.0), (4, "D", "", "t", "", [], 1.0)])
+    verdicts = _frame(spark, "seq long, keep boolean, reason string, source_type string", [(1, True, "", "creator"), (2, True, "ok", "company"), (3, True, "", "aggregator")])
+    return relevance_gate(posts, verdicts).select("seq", "rank", "why_matched")
+
+
+_LINKED = f"{_SITE}/feed/update/urn:li:activity:7489706814855344128/"
+
+
+@query(expected("seq BIGINT, url_reason VARCHAR, post_url VARCHAR", [(1, "exact", _LINKED), (2, "anchor", _LINKED), (3, "cache", "https://cached.example/"), (4, "no_permalink", ""), (5, "budget", "")]))
+def fixture_permalink_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _posts(spark, [(1, "A", "", "t", _LINKED, [], 1.0), (2, "B", "", "t", "", ["/in/b/", "/feed/update/urn%3Ali%3Aactivity%3A7489706814855344128/"], 1.0), (3, "C", "", "Hello", "", [], 1.0), (4, "D", "", "t", f"{_SITE}/search/results/content/", [], 1.0), (5, "E", "", "t", "", [], 1.0)])
+    cache = _frame(spark, "cache_key string, permalink string", [("c|hello", "https://cached.example/")])
+    return fill_permalinks(posts, cache, budget=3).select("seq", "url_reason", "post_url")
+
+
+@query(expected("seq BIGINT, company_class VARCHAR, startup BOOLEAN", [(1, "funded_startup", True), (2, "", False)]))
+def fixture_company_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _posts(spark, [(1, "ACME ", "", "t", "", [], 1.0), (2, "B", "", "t", "", [], 1.0)])
+    classes = _frame(spark, "name string, category string, confidence double", [("Acme", "funded_startup", 0.9)])
+    return label_companies(posts, classes).select("seq", "company_class", is_startup(F.col("company_class")).alias("startup"))
