@@ -60,22 +60,35 @@ def _gram(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+#: Odd factors, two for each place of a window, from the same sequence as the seeds.
+_FACTORS = mix(np.arange(1, 2 * WINDOW + 1, dtype=np.uint64) * np.uint64(_STEP)).reshape(2, WINDOW) | np.uint64(1)
+
+
+def _folded(rows: np.ndarray, which: int) -> np.ndarray:
+    """One hash a row of word hashes: a sum with a factor for each place."""
+    return mix((rows * _FACTORS[which]).sum(axis=1, dtype=np.uint64))
+
+
+class _Known(dict):
+    """Hashes of words, made as they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = made = xxhash.xxh64_intdigest(word.lower().encode())
+        return made
+
+
 class _Hashes:
     """Word hashes of texts: words are runs without blanks and line ends, lower case."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end (code points) of each word."""
         if len(self.known) > MEMORY:
             self.known.clear()
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w.lower().encode())
-        h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+        h = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         end = np.cumsum(size + 1) - 1
         real = size > 0
@@ -96,13 +109,21 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """One key for each band."""
-    low = np.array([int(mix(shingles ^ s).min()) for s in _SEEDS], dtype=np.uint64).reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+def _sketches(five: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """One key for each band and range of shingles, all ranges at once."""
+    low = np.minimum.reduceat(mix(five[None, :] ^ _SEEDS[:, None]), ranges.ravel(), axis=1)[:, ::2].reshape(BANDS, ROWS, -1)
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], low.shape[2], axis=1)
     for k in range(ROWS):
         out = mix(out * np.uint64(_STEP) + low[:, k])
-    return out
+    return out.T
+
+
+def _lines(text: str, start: np.ndarray) -> np.ndarray:
+    """Word ranges of the lines of ``PARAGRAPH`` words or more."""
+    ends = np.cumsum(np.fromiter(map(len, text.split("\n")), dtype=np.int64) + 1)
+    cuts = np.concatenate(([0], np.searchsorted(start, ends)))
+    keep = np.diff(cuts) >= PARAGRAPH
+    return np.stack([cuts[:-1][keep], cuts[1:][keep]], axis=1)
 
 
 _KINDS = "doc_id long, start long, end long, first_key long, check long, keys array<long>, shingles array<int>, unit long"
@@ -117,46 +138,52 @@ def units(docs: DataFrame) -> DataFrame:
     """
     shape = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("first_key", pa.int64()), ("check", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int32())), ("unit", pa.int64())])
 
+    def frame(parts: list[tuple], number: int, keys: pa.Array | None, shingles: pa.Array | None) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c.view(np.int64)) for c in columns), pa.nulls(n, shape[5].type) if keys is None else keys, pa.nulls(n, shape[6].type) if shingles is None else shingles, pa.array(np.arange(number, number + n))],
+            schema=shape,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number = _Hashes(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            owners = batch.column("doc_id").to_pylist()
+            owners = batch.column("doc_id").to_numpy()
             for first, texts in text_chunks(batch, "text"):
-                columns: list[list] = [[], [], [], [], []]
-                keys: list[list | None] = []
-                shingles: list[np.ndarray | None] = []
+                windows: list[tuple] = []
+                lines: list[tuple] = []
+                keys: list[np.ndarray] = []
+                shingles: list[np.ndarray] = []
                 for k, text in enumerate(texts):
                     h, start, end = words(text)
+                    owner = owners[first + k]
                     if len(h) >= WINDOW:
                         at = anchors(h)
                         at = at[at + WINDOW <= len(h)]
-                        whole = _gram(h, WINDOW)[at]
-                        other = mix(whole ^ _gram(h, WINDOW // 2)[at])
-                        for c, v in zip(columns, ([owners[first + k]] * len(at), start[at].tolist(), end[at + WINDOW - 1].tolist(), whole.view(np.int64).tolist(), other.view(np.int64).tolist()), strict=True):
-                            c.extend(v)
-                        keys.extend([None] * len(at))
-                        shingles.extend([None] * len(at))
-                    if len(h) >= PARAGRAPH:
+                        own = h[at[:, None] + np.arange(WINDOW)]
+                        windows.append((np.full(len(at), owner), start[at], end[at + WINDOW - 1], _folded(own, 0), _folded(own, 1)))
+                    ranges = _lines(text, start) if len(h) >= PARAGRAPH else np.zeros((0, 2), np.int64)
+                    if len(ranges):
                         five = _gram(h, SHINGLE)
-                        place = 0
-                        for line in text.split("\n"):
-                            a, b = np.searchsorted(start, (place, place + len(line)))
-                            place += len(line) + 1
-                            if b - a < PARAGRAPH:
-                                continue
-                            own = np.unique(five[a : b - SHINGLE + 1])
-                            band = _sketch(own)
-                            small = np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-                            small.sort()
-                            all_ = int(mix(own).sum(dtype=np.uint64))
-                            for c, v in zip(columns, (owners[first + k], int(start[a]), int(end[b - 1]), all_ - (1 << 64) if all_ >> 63 else all_, 0), strict=True):
-                                c.append(v)
-                            keys.append(band.view(np.int64).tolist())
-                            shingles.append(small)
-                n = len(keys)
-                if n:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(keys, shape[5].type), pa.array(shingles, shape[6].type), pa.array(np.arange(number, number + n))], schema=shape)
-                    number += n
+                        stops = ranges - np.array([0, SHINGLE - 1])
+                        # a last stop that is the end of the shingles would be no index
+                        padded = np.append(five, ~np.uint64(0)) if stops[-1, 1] == len(five) else five
+                        keys.append(_sketches(padded, stops))
+                        short = (five >> np.uint64(32)).astype(np.uint32)
+                        sets = [np.unique(short[a:b]) for a, b in stops.tolist()]
+                        whole = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64)
+                        lines.append((np.full(len(ranges), owner), start[ranges[:, 0]], end[ranges[:, 1] - 1], whole, np.zeros(len(ranges), np.int64)))
+                        shingles.extend(sets)
+                if windows:
+                    yield (made := frame(windows, number, None, None))
+                    number += len(made)
+                if lines:
+                    flat = np.concatenate(keys).view(np.int64)
+                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in shingles])))
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, BANDS), pa.int32()), pa.array(flat.ravel()))
+                    yield (made := frame(lines, number, bands, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(shingles).view(np.int32)))))
+                    number += len(made)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, _KINDS)
 
