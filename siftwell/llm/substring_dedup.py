@@ -262,8 +262,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     first = stash(windows.groupBy("first_key", "check").agg(F.min(place).alias("keep"), F.max("doc_id").alias("last")).where("keep.doc_id <> last").select("first_key", "check", "keep"))
     cut = windows.join(first, ["first_key", "check"]).select("doc_id", "start", "end", "keep")
     lines = made.where("keys is not null")
+    # equal paragraphs are one class before any bucket is made: only its first unit is compared
+    same = stash(lines.groupBy("first_key").agg(F.min("unit").alias("rep"), F.count(F.lit(1)).alias("n")))
+    heads = lines.select("unit", "keys").join(same.select(F.col("rep").alias("unit")), "unit", "left_semi")
     edges = bucket_join(
-        lines.select("unit", F.explode("keys").alias("bucket")),
+        heads.select("unit", F.explode("keys").alias("bucket")),
         _verify,
         "src long, dst long",
         key="bucket",
@@ -272,7 +275,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         payload=lines.select("unit", "first_key", "shingles"),
     )
     found = components(edges)
-    named = stash(lines.select("unit", "doc_id", "start", "end").join(found, F.col("unit") == F.col("node")).select("component", "doc_id", "start", "end"))
+    classes = stash(same.join(found, F.col("rep") == F.col("node"), "left").where("n > 1 or node is not null").select("first_key", F.coalesce("component", "rep").alias("component")))
+    named = stash(lines.select("first_key", "doc_id", "start", "end").join(classes, "first_key").select("component", "doc_id", "start", "end"))
     keeper = stash(named.groupBy("component").agg(F.min(place).alias("keep"), F.max("doc_id").alias("last")).where("keep.doc_id <> last").drop("last"))
     cut = stash(cut.unionByName(named.join(keeper, "component").select("doc_id", "start", "end", "keep")))
     cut = cut.where(place != F.col("keep")).groupBy("doc_id", "start", "end").agg(F.min("keep").alias("keep"))
