@@ -110,7 +110,9 @@ def scan_licences(docs: DataFrame, *, text: str = "text", templates: tuple[Templ
 
     ``hits`` has each verified place of a key phrase (start: word index from 0) with
     the score of its template.  Null and empty texts have no words and no hits; other
-    columns pass through; repeated rows repeat their results.
+    columns pass through (own ones called ``n_words`` or ``hits`` are replaced; ``_norm`` and
+    ``_o<number>`` are reserved); repeated rows repeat their results; an empty table stays
+    empty, with the IDF of a corpus without documents.
     """
     idf = idf or word_idf(docs, text, templates)
     frame = docs.withColumn("_norm", normalised(F.col(text)))

@@ -119,7 +119,8 @@ def find_pii(docs: DataFrame, *, text: str = "text", least: float = 0.5, window:
 
     Base kinds are kept whenever they validate; the others only with a score of
     ``least``.  Offsets are code points, ends exclusive; kinds may overlap.  Null and
-    empty texts have no spans; other columns pass through untouched; every input row
+    empty texts have no spans; other columns pass through untouched (an own ``pii`` is
+    replaced; names of an underscore and a kind are reserved); every input row
     gives one output row (an empty table an empty one, repeated rows repeated results).
     """
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))

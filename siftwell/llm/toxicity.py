@@ -173,7 +173,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` and ``spans array<struct<start,end,score>>`` (code points) to every row of ``docs``.
 
     Null and empty texts have no words and the score of a document without evidence.
-    Other columns pass through; repeated rows repeat; an empty table stays empty.
+    Other columns pass through (own ones called ``score`` or ``spans`` are replaced);
+    repeated rows repeat; an empty table stays empty.
     """
     shape = pa.schema([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
     names = [c for c in docs.columns if c not in ("score", "spans")]
@@ -220,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0
 
 
 def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score below ``least``; columns are untouched."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return score_documents(docs, model).where(F.col("score") < least).select(*columns)
+    """The rows of ``docs`` with a score below ``least``; columns are untouched, also those named like the operator's own."""
+    aside = {c: f"_own_{c}" for c in ("score", "spans") if c in docs.columns}
+    kept = score_documents(docs.withColumnsRenamed(aside), model).where(F.col("score") < least)
+    return kept.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))

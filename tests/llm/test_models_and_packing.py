@@ -75,6 +75,7 @@ def test_toxic_spans_and_scores(spark, toxic_model):
     assert flagged == [True, False, False, False, False, False, True]
     assert [(texts[0][s["start"] : s["end"]]) for s in got[0]["spans"]] == ["Moron"]
     assert [r["doc_id"] for r in toxicity.without_toxic(df, toxic_model).orderBy("doc_id").collect()] == [1, 2, 3, 4, 5]
+    assert {r["score"] for r in toxicity.without_toxic(df, toxic_model).collect()} == {"s"}
     assert toxicity.score_documents(df.limit(0), toxic_model).collect() == []
     assert toxicity.train([]).head[0] < 0 and toxicity.train([("a", 1)]).head[0] > 0
 
@@ -230,3 +231,24 @@ def test_pipeline_stages(spark):
         seen = now
     out = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in out.collect()} == seen
+
+
+def test_stages_bear_odd_rows_and_extra_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    docs = [(1, "plain words " * 30, "en", "s", 1, "x"), (1, "plain words " * 30, "en", "s", 1, "x"), (None, None, None, None, None, None), (2, "", "en", "s", 0, "y"), (3, "mail a@b.co", "en", "s", 3, "z")]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    spark.createDataFrame(docs, ddl).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    for rows in (frame, frame.limit(0)):
+        step = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            step = spark.createDataFrame(stage(spark, step, sf).collect(), rows.schema)
+            assert step.columns == rows.columns
+        ids = sorted((r["doc_id"] or -1) for r in step.collect())
+        assert ids == ([-1, 1, 1, 2, 3] if rows is frame else [])
+        assert {r["score"] for r in step.collect()} <= {"x", "y", "z", None}
+        assert sum(r["length"] for r in corpus_pipeline.STAGES[-1][1](spark, step, sf).collect()) == sum(len(_tokens(r["text"])) for r in step.collect())
