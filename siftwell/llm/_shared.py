@@ -75,8 +75,16 @@ def sweep() -> None:
             return
 
 
-def null_safe_text(df: DataFrame, column: str = "text") -> Column:
-    return F.coalesce(df[column].cast("string"), F.lit(""))
+#: Rows that go to Python in one Arrow batch at most: texts have no bound, so batches of them need one.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's rows per Arrow batch to ``BATCH_ROWS`` where it is higher."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 # --------------------------------------------------------------------- groups

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm._shared import in_small_batches
 from siftwell.llm.packing import text_chunks
 
 WORD = re.compile(r"\w+")
@@ -96,7 +97,7 @@ def document_frequency(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
 
     counts = np.zeros(len(index.keys), dtype=np.int64)
     total = 0
-    for r in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in in_small_batches(docs).select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         if r["gram"] < 0:
             total = r["n"]
         else:
@@ -175,7 +176,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, rare:
     out = docs.sparkSession.createDataFrame([], kinds)
     for part in item_blocks(items, block):
         index = seeds(part, docs, rare)
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_matcher(index, least), kinds))
+        out = out.unionByName(in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_matcher(index, least), kinds))
     return out
 
 
@@ -236,7 +237,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, ra
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs
     for part in item_blocks(items, block):
-        out = out.mapInArrow(_filter(seeds(part, docs, rare), least), kinds)
+        out = in_small_batches(out).mapInArrow(_filter(seeds(part, docs, rare), least), kinds)
     return out
 
 

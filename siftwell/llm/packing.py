@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import stash
+from siftwell.llm._shared import in_small_batches, stash
 
 CAPACITY = 2048
 END_ID = 0
@@ -160,7 +160,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAP
                         seen[size] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=shape)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
 
 def fullest(room: int, left: dict[int, int], order: list[int]) -> dict[int, int]:

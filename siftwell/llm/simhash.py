@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import bucket_join, components, large_groups, may_meet, merge_labels, small_pairs, stash
+from siftwell.llm._shared import bucket_join, components, in_small_batches, large_groups, may_meet, merge_labels, small_pairs, stash
 from siftwell.llm.packing import text_chunks
 
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             made = [fingerprint(t) for _, texts in text_chunks(batch, "text") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(made, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import bucket_join, components, large_groups, may_meet, merge_labels, small_pairs, stash
+from siftwell.llm._shared import bucket_join, components, in_small_batches, large_groups, may_meet, merge_labels, small_pairs, stash
 from siftwell.llm.packing import text_chunks
 
 SHINGLE = 5
@@ -185,7 +185,7 @@ def units(docs: DataFrame) -> DataFrame:
                     yield (made := frame(lines, number, bands, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(shingles).view(np.int32)))))
                     number += len(made)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, _KINDS)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(run, _KINDS)
 
 
 def _verify(frame: pd.DataFrame, cuts: np.ndarray, side: np.ndarray) -> pd.DataFrame:

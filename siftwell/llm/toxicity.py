@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._labelled import labelled_sample
+from siftwell.llm._shared import in_small_batches
 from siftwell.llm.packing import text_chunks
 
 WORD = re.compile(r"[^\W_]+")
@@ -212,7 +213,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, shape[0].type), pa.array(spans, shape[1].type)], names=[*names, "score", "spans"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in names)).schema)
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{kinds}, score double, spans array<struct<start:bigint,end:bigint,score:double>>")
+    return in_small_batches(docs).select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{kinds}, score double, spans array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Model:
