@@ -236,7 +236,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, keep
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slots(plan_bins(histogram, capacity))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    shift = counts.select("part", "length", before.alias("before"))
+    # this side grows with the partitions, so it is merged and never broadcast
+    shift = counts.select("part", "length", before.alias("before")).hint("merge")
     spread = int(max(histogram.values(), default=0)) + 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
