@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._labelled import fold, labelled_sample
+from siftwell.llm._shared import in_small_batches
 from siftwell.llm.packing import text_chunks
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -67,6 +68,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * (margin + self.bias) + self.shift, -30, 30)))
 
 
+def _support(sample: list[tuple[str, int]], least: int) -> dict[str, tuple[int, int]]:
+    """Documents of either class that hold an n-gram, for n-grams of ``least`` documents or more.
+
+    A pair is counted only where both its tokens have the support, which it can't exceed:
+    the many pairs of rare words are never held in memory.
+    """
+    one = (Counter(), Counter())
+    for text, c in sample:
+        tokens = TOKEN.findall(text)
+        one[c].update({*map(shape, tokens), *kinds(tokens)})
+    both = {g: (one[0][g], one[1][g]) for g in one[0].keys() | one[1].keys() if one[0][g] + one[1][g] >= least}
+    two = (Counter(), Counter())
+    for text, c in sample:
+        parts = [p if p in both else None for p in map(shape, TOKEN.findall(text))]
+        two[c].update({f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False) if a is not None and b is not None})
+    return both | {g: (two[0][g], two[1][g]) for g in two[0].keys() | two[1].keys() if two[0][g] + two[1][g] >= least}
+
+
 def dual_descent(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, cost: np.ndarray, *, passes: int = 20, seed: int = 7) -> np.ndarray:
     """Hinge-loss weights: rows hold feature numbers (the last one is the constant), ``x`` the features' values."""
     rng = np.random.default_rng(seed)
@@ -98,27 +117,21 @@ def train(sample: list[tuple[str, int]], *, cost: float = 0.3, calibration: int
     if not total[0] or not total[1]:
         share = (total[1] + 1) / (len(sample) + 2) if sample else 0.0
         return Model({}, 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    sets = [grams(t) for t, _ in sample]
     y = np.array([c for _, c in sample])
     # every n-th document of each class is kept for the calibration
     rank = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
     held = rank % calibration == 0
     if not (y[~held] == 0).any() or not (y[~held] == 1).any() or not held.any():
         held = np.zeros(len(y), dtype=bool)
-    seen = (Counter(), Counter())
-    for s, c, h in zip(sets, y, held, strict=True):
-        if not h:
-            seen[c].update(s)
     n = [int(((y == c) & ~held).sum()) for c in (0, 1)]
     least = SUPPORT if len(sample) >= 200 else 2
-    ratio = {}
-    for g in seen[0].keys() | seen[1].keys():
-        if seen[0][g] + seen[1][g] >= least:
-            ratio[g] = float(np.log((seen[1][g] + 1) / (n[1] + 2)) - np.log((seen[0][g] + 1) / (n[0] + 2)))
-    order = sorted(ratio, key=lambda g: (-abs(ratio[g]) * np.sqrt(seen[0][g] + seen[1][g]), g))[:VOCABULARY]
+    fit_on = [(t, c) for (t, c), h in zip(sample, held, strict=True) if not h]
+    seen = _support(fit_on, least)
+    ratio = {g: float(np.log((k[1] + 1) / (n[1] + 2)) - np.log((k[0] + 1) / (n[0] + 2))) for g, k in seen.items()}
+    order = sorted(ratio, key=lambda g: (-abs(ratio[g]) * np.sqrt(sum(seen[g])), g))[:VOCABULARY]
     number = {g: k for k, g in enumerate(order)}
     x = np.array([*(ratio[g] for g in order), 1.0])
-    rows = [np.array([*sorted(number[g] for g in s if g in number), len(order)], dtype=np.int64) for s in sets]
+    rows = [np.array([*sorted(number[g] for g in grams(t) if g in number), len(order)], dtype=np.int64) for t, _ in sample]
     balance = np.where(y == 1, len(y) / (2 * total[1]), len(y) / (2 * total[0])) * cost
     fitted = np.flatnonzero(~held)
     w = dual_descent([rows[i] for i in fitted], x, np.where(y[fitted] == 1, 1.0, -1.0), balance[fitted])
@@ -187,7 +200,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` to every row of ``docs``.
 
     Null and empty texts have no n-grams and get the score of the constant alone.
-    Other columns pass through; repeated rows repeat; an empty table stays empty.
+    Other columns pass through (an own ``score`` is replaced); repeated rows repeat; an
+    empty table stays empty.
     """
     names = [c for c in docs.columns if c != "score"]
 
@@ -197,7 +211,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             margins = [scorer.margin(t) for _, texts in text_chunks(batch, "text") for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(model.probability(np.array(margins, dtype=float)))], names=[*names, "score"])
 
-    chosen = docs.select(*(F.col(f"`{c}`") for c in names))
+    chosen = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in names))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
     return chosen.mapInArrow(run, f"{types}, score double")
 
