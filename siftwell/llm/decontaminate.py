@@ -1,11 +1,12 @@
-"""Benchmark decontamination (operator 10): rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination (operator 10): n-gram seeds, then Smith-Waterman.
 
-Pass one counts, over all documents, how many hold each n-gram of the test items.
-An item's seeds are its rare n-grams.  Pass two looks the seeds up in every
-document; where two or more of an item stand on about the same diagonal, the words
-around them are aligned with the item by Smith-Waterman over words, and the score,
-as a share of the item's own, decides.  An item that leaked into very many documents
-makes all its n-grams common alike, so rarity is judged against the item itself.
+Every n-gram of the test items is a seed, however many documents hold it: an item that
+leaked into very many documents, whole, edited or cut short, makes its n-grams common,
+so no count of documents tells a leak from a phrase.  One pass looks the seeds up in
+every document; where two or more of an item stand on about the same diagonal, the words
+around them are aligned with the item by Smith-Waterman over words, and the score, as a
+share of the item's own, decides.  Passages that hold too few of an item's words to
+reach that share in any order are not aligned, which loses nothing.
 
 The index of the items is sent to the executors, so it is built over blocks of at
 most ``BLOCK`` item words; a larger benchmark takes more passes, never a larger index.
@@ -29,8 +30,6 @@ WORD = re.compile(r"\w+")
 N = 3
 #: Item words indexed in one pass.
 BLOCK = 250_000
-#: Share of the documents, and number of them, up to which an n-gram always counts as rare.
-RARE, FEW = 1e-3, 20
 #: Share of an item's own alignment score from which a document holds a copy.
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -82,50 +81,6 @@ def _coded(texts: list[str], words: dict[str, int]) -> Iterator[np.ndarray]:
         yield np.fromiter((get(w, -1) for w in own), dtype=np.int64, count=len(own))
 
 
-def document_frequency(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
-    """In how many documents each indexed n-gram stands, and the number of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, rows = np.zeros(len(index.keys), dtype=np.int64), 0
-        for batch in batches:
-            rows += len(batch)
-            for _, texts in text_chunks(batch, "text"):
-                for ids in _coded(texts, index.words):
-                    count[np.unique(index.find(ids)[1])] += 1
-        seen = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(count[seen], rows))], names=["gram", "n"])
-
-    counts = np.zeros(len(index.keys), dtype=np.int64)
-    total = 0
-    for r in in_small_batches(docs).select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        if r["gram"] < 0:
-            total = r["n"]
-        else:
-            counts[r["gram"]] = r["n"]
-    return counts, total
-
-
-def seeds(items: list[tuple[int, str]], docs: DataFrame, rare: float = RARE) -> Index:
-    """The index of the rare n-grams of ``items``."""
-    index = build(items)
-    counts, total = document_frequency(docs, index)
-    keep = np.zeros(len(index.item), dtype=bool)
-    per_posting = np.repeat(counts, np.diff(index.first))
-    order = np.argsort(index.item, kind="stable")
-    cuts = np.searchsorted(index.item[order], np.arange(len(index.items) + 1))
-    for k in range(len(index.items)):
-        own = order[cuts[k] : cuts[k + 1]]
-        if len(own):
-            keep[own] = per_posting[own] <= max(FEW, rare * total, 3 * np.quantile(per_posting[own], 0.25))
-    return _only(index, keep)
-
-
-def _only(index: Index, keep: np.ndarray) -> Index:
-    of = np.repeat(np.arange(len(index.keys)), np.diff(index.first))[keep]
-    used, first = np.unique(of, return_index=True)
-    return Index(index.words, index.keys[used], np.append(first, len(of)), index.item[keep], index.place[keep], index.items)
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment of two word sequences: its score and where it ends in ``passage`` (exclusive)."""
     n = len(passage)
@@ -163,7 +118,7 @@ def _candidates(at: np.ndarray, gram: np.ndarray, index: Index) -> Iterator[tupl
             yield int(item[a]), int(diagonal[a] - slack[a]), int(diagonal[b - 1] + length[a] + slack[a])
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, rare: float = RARE, block: int = BLOCK) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """``doc_id, item_id, score, first_word, last_word`` for every document that holds a copy of an item.
 
     ``docs(doc_id, text)``, ``items(item_id, text)``; other columns are ignored.  Score:
@@ -175,7 +130,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, rare:
     kinds = "doc_id long, item_id long, score double, first_word long, last_word long"
     out = docs.sparkSession.createDataFrame([], kinds)
     for part in item_blocks(items, block):
-        index = seeds(part, docs, rare)
+        index = build(part)
         out = out.unionByName(in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_matcher(index, least), kinds))
     return out
 
@@ -205,6 +160,9 @@ def _leaks_of(ids: np.ndarray, index: Index, least: float) -> list[tuple]:
             a, b = max(0, a), min(len(ids), b)
             item_id, own = index.items[item]
             passage = ids[a:b]
+            # each matched word is one of the item and one of the passage
+            if min(np.isin(own, passage).sum(), np.isin(passage, own).sum()) / len(own) < least:
+                continue
             score, end = align(own, passage)
             share = score / (MATCH * len(own))
             if share >= least and share > best.get(item, (0.0,))[0]:
@@ -229,7 +187,7 @@ def _matcher(index: Index, least: float):
     return run
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, rare: float = RARE, block: int = BLOCK) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that hold a copy of no item, all columns untouched: a filter, nothing is joined.
 
     Every row is judged by itself, whether it has a doc_id or not; an empty benchmark keeps all.
@@ -237,7 +195,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, ra
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs
     for part in item_blocks(items, block):
-        out = in_small_batches(out).mapInArrow(_filter(seeds(part, docs, rare), least), kinds)
+        out = in_small_batches(out).mapInArrow(_filter(build(part), least), kinds)
     return out
 
 

@@ -160,6 +160,19 @@ def test_an_item_that_leaked_everywhere_keeps_its_seeds(spark):
     assert decontaminate.find_leaks(df, spark.createDataFrame([(1, text)], "item_id long, text string")).count() == 50
 
 
+def test_hot_groups_of_edited_and_of_truncated_copies_are_found(spark):
+    rng = random.Random(18)
+    edited, cut = _words(rng, 30), _words(rng, 30)
+    copy = ["zz" if k % 10 == 5 else w for k, w in enumerate(edited)]
+    docs = [(k, " ".join(_words(rng, 20) + (copy if k % 2 else cut[:18]) + _words(rng, 20))) for k in range(120)]
+    docs += [(200, " ".join(edited + cut)), (201, " ".join(_words(rng, 60)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(edited)), (0, " ".join(cut))], "item_id long, text string")
+    found = decontaminate.find_leaks(df, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(k, k % 2) for k in range(120)] + [(200, 0), (200, 1)]
+    assert [r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()] == [201]
+
+
 # -------------------------------------------------------------------- packing
 
 
