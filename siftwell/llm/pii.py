@@ -72,12 +72,31 @@ def _phone_ok(v: Column) -> Column:
     return F.length(_digits(v)).between(9, 15)
 
 
+#: Characters of an IBAN behind its country and check digits, and the countries that use so many.
+_IBAN = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV",
+    18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST",
+    22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA",
+    26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """The country gives the length, so what follows an IBAN is left alone.
+
+    Countries without a known length take the longest run, which stops before a known country.
+    """
+    known = "(?:" + "|".join(" ".join(_IBAN.values()).split()) + ")[0-9]{2}"
+    fixed = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}" for n, c in _IBAN.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{fixed}|(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?! {known}) ?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
+
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@", 0.8, r"(?i)mail|contact|write|@"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"(?i)\bip\b|host|server|address|login", valid=_ip_ok),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9][ -]?[0-9]", 0.7, r"(?i)card|visa|credit|amex|master|pay", valid=_card_ok),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.6, r"(?i)tel|phone|call|mobile|fax|whatsapp", valid=_phone_ok),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, r"(?i)iban|bank|account|konto|cuenta", base=False, valid=mod97),
+    Kind("iban", _iban_pattern(), r"[A-Z]{2}[0-9]{2}", 0.8, r"(?i)iban|bank|account|konto|cuenta", base=False, valid=mod97),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", 0.35, r"(?i)ssn|social|security", base=False),
     Kind("secret", r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key)\s{0,8}[=:]\s{0,8}[\x22'][A-Za-z0-9_/+=.-]{16,}+[\x22']", r"(?i)token|secret|passw|api", 0.7, r"(?i)auth|key|bearer|export|env", base=False),
 )

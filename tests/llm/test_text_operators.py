@@ -99,6 +99,18 @@ def test_validators_and_context_of_added_kinds(spark):
     assert all(0 <= s["score"] <= 1 for r in rows for s in r["p"])
 
 
+def test_ibans_before_capitals_and_numbers(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S"]
+    texts = ["pay " + i + after for i in ibans for after in ("", " Bank", " Please pay", " BIC COBADEFF", " 2024", " 17 A", " X", ", B")]
+    texts += ["ID12 DE89370400440532013000 Bank", "DE89370400440532013000 GB82WEST12345698765432 NOW"]
+    docs = _docs(spark, texts).drop("pii")
+    rows = pii.find_pii(docs).select("doc_id", F.col("pii").alias("p")).orderBy("doc_id").collect()
+    got = [[t[s["start"] : s["end"]] for s in r["p"] if s["kind"] == "iban"] for r, t in zip(rows, texts, strict=True)]
+    assert got == [[i] for i in ibans for _ in range(8)] + [["DE89370400440532013000"], ["DE89370400440532013000", "GB82WEST12345698765432"]]
+    masked = [r["text"] for r in pii.mask_pii(docs).orderBy("doc_id").collect()]
+    assert masked[1] == "pay [IBAN] Bank" and masked[-1] == "[IBAN] [IBAN] NOW"
+
+
 def test_masks(spark):
     texts = [None, "", "write a@b.co or 1.2.3.4, card 4111 1111 1111 1111; 999.1.1.1", "clean"]
     rows = pii.mask_pii(_docs(spark, texts)).orderBy("doc_id").collect()
