@@ -10,6 +10,11 @@ Two kinds of unit are compared:
   words, so one band, the hash of the whole, has full recall.  A passage of
   ``REACH + WINDOW + 2`` = 50 words holds at least one whole window wherever it stands.
 
+Shared windows are only the seeds of such passages: in a second pass the windows at
+every word within ``MARGIN`` words of a seed are compared as well, so that a passage goes
+from its first word to its last.  A passage ends less than that before its first seed
+or behind its last, and its seeds stand less than that apart.
+
 Units that repeat form components; of those that reach over two documents or more, all
 units but the first (by doc_id, then place) are removed.  Overlapping removals of a document are merged.
 """
@@ -26,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import bucket_join, components, in_small_batches, large_groups, may_meet, merge_labels, small_pairs, stash
+from siftwell.llm._shared import bucket_join, components, discard, in_small_batches, large_groups, may_meet, merge_labels, small_pairs, stash
 from siftwell.llm.packing import text_chunks
 
 SHINGLE = 5
 PARAGRAPH = 20
 WINDOW, REACH = 18, 30
+#: Words from a shared window within which the windows at every word are compared.
+MARGIN = REACH + 2
 #: Bands and hashes a band: two paragraphs of Jaccard 0.8 meet with probability 0.983.
 BANDS, ROWS = 4, 2
 LEAST = 0.8
@@ -248,19 +255,73 @@ def _large(sets: np.ndarray, whole: np.ndarray, side: np.ndarray) -> np.ndarray:
     return label
 
 
+_AROUND = "doc_id long, start long, end long, first_key long, check long"
+
+
+def _places(owner: int, start: np.ndarray, at: np.ndarray, keep_doc: np.ndarray, keep_start: np.ndarray) -> np.ndarray:
+    """Word places around the seeds (starts ``at``) whose windows are to be compared.
+
+    Left out are those inside overlapping seeds that repeat one run of another place:
+    they are cut with the seeds, and the place that stays has them too.
+    """
+    last = len(start) - WINDOW
+    place, shift = np.minimum(np.searchsorted(start, at), last), at - keep_start
+    near = np.zeros(last + 2, dtype=np.int64)
+    np.add.at(near, np.maximum(place - MARGIN, 0), 1)
+    np.add.at(near, np.minimum(place + MARGIN, last) + 1, -1)
+    other = (keep_doc != owner) | (shift != 0)
+    place, shift, keep_doc = place[other], shift[other], keep_doc[other]
+    done = np.zeros(last + 2, dtype=np.int64)
+    if len(place):
+        order = np.lexsort((place, shift, keep_doc))
+        place, shift, keep_doc = place[order], shift[order], keep_doc[order]
+        breaks = (np.diff(keep_doc) != 0) | (np.diff(shift) != 0) | (np.diff(place) >= WINDOW)
+        np.add.at(done, place[np.append(True, breaks)], 1)
+        np.add.at(done, place[np.append(breaks, True)] + 1, -1)
+    return np.flatnonzero((np.cumsum(near)[:-1] > 0) & (np.cumsum(done)[:-1] == 0))
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows around the seeds of each document."""
+    words = _Hashes()
+    for batch in batches:
+        owners = batch.column("doc_id").to_numpy()
+        cuts = np.append(0, np.cumsum(batch.column("seeds").value_lengths().to_numpy(zero_copy_only=False)))
+        seeds = batch.column("seeds").flatten()
+        at, keep_doc, keep_start = (seeds.field(c).to_numpy() for c in range(3))
+        for first, texts in text_chunks(batch, "text"):
+            parts: list[tuple] = []
+            for k, text in enumerate(texts, first):
+                h, start, end = words(text)
+                if len(h) < WINDOW:
+                    continue
+                own = slice(cuts[k], cuts[k + 1])
+                places = _places(owners[k], start, at[own], keep_doc[own], keep_start[own])
+                rows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[places]
+                parts.append((np.full(len(places), owners[k]), start[places], end[places + WINDOW - 1], _folded(rows, 0), _folded(rows, 1)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*parts, strict=True)], names=["doc_id", "start", "end", "first_key", "check"])
+
+
+def _with_first(windows: DataFrame) -> DataFrame:
+    """The windows that repeat across documents, with the first place of each in ``keep``."""
+    same = windows.groupBy("first_key", "check").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.max("doc_id").alias("last"))
+    first = stash(same.where("keep.doc_id <> last").select("first_key", "check", "keep"))
+    return windows.join(first, ["first_key", "check"]).select("doc_id", "start", "end", "keep")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, start, end, n_units, first_doc_id``: what to cut out of each document.
 
     Offsets are code points, ends exclusive; the first occurrence of a passage stays, in
-    document ``first_doc_id``.  Null and empty texts and texts of fewer than ``WINDOW``
+    document ``first_doc_id``; ``n_units`` counts the paragraphs and windows compared.  Null and empty texts and texts of fewer than ``WINDOW``
     words have no units.  Rows that share a doc_id count as one document, rows without
     one take no part; other columns are ignored; an empty table gives an empty result.
     """
     made = stash(units(docs))
     windows = made.where("keys is null").select("first_key", "check", "doc_id", "start", "end")
     place = F.struct("doc_id", "start")
-    first = stash(windows.groupBy("first_key", "check").agg(F.min(place).alias("keep"), F.max("doc_id").alias("last")).where("keep.doc_id <> last").select("first_key", "check", "keep"))
-    cut = windows.join(first, ["first_key", "check"]).select("doc_id", "start", "end", "keep")
+    seeds = stash(_with_first(windows))
     lines = made.where("keys is not null")
     # equal paragraphs are one class before any bucket is made: only its first unit is compared
     same = stash(lines.groupBy("first_key").agg(F.min("unit").alias("rep"), F.count(F.lit(1)).alias("n")))
@@ -278,6 +339,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     classes = stash(same.join(found, F.col("rep") == F.col("node"), "left").where("n > 1 or node is not null").select("first_key", F.coalesce("component", "rep").alias("component")))
     named = stash(lines.select("first_key", "doc_id", "start", "end").join(classes, "first_key").select("component", "doc_id", "start", "end"))
     keeper = stash(named.groupBy("component").agg(F.min(place).alias("keep"), F.max("doc_id").alias("last")).where("keep.doc_id <> last").drop("last"))
+    discard(made)
+    own = seeds.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.start").alias("keep_start"))).alias("seeds"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    around = stash(texts.join(own, "doc_id").mapInArrow(_around, _AROUND))
+    cut = seeds.unionByName(_with_first(around))
     cut = stash(cut.unionByName(named.join(keeper, "component").select("doc_id", "start", "end", "keep")))
     cut = cut.where(place != F.col("keep")).groupBy("doc_id", "start", "end").agg(F.min("keep").alias("keep"))
     so_far = Window.partitionBy("doc_id").orderBy("start", "end")

@@ -152,6 +152,26 @@ def test_passages_are_found_wherever_they_stand(spark):
     assert all(len(cut[r["doc_id"]]) < len(docs[r["doc_id"]]) for r in found)
 
 
+def test_whole_passages_are_covered(spark):
+    rng = random.Random(14)
+    passages = [" ".join(_words(rng, n)) for n in (50, 55, 55, 100, 100, 100)]
+    docs, planted = [], {}
+    for k in range(90):
+        # words of its own, so that no passage goes on by chance, and enough that no two lines are near
+        head, tail = (" ".join(f"{side}{k}_{j}" for j in range(rng.randrange(30, 60))) + " " for side in "ht")
+        p = passages[k % 6]
+        planted[k] = (len(head), len(head) + len(p))
+        docs.append((k, head + p + " " + tail.strip()))
+    # a part of one passage stands before its other copies
+    part = slice(30, 75)
+    docs.append((-1, "x y z " + " ".join(passages[3].split()[part]) + " u v w"))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    text = docs[3][1]
+    at = text.index(" ".join(passages[3].split()[part]))
+    want = {k: v for k, v in planted.items() if k >= 6} | {3: (at, at + len(" ".join(passages[3].split()[part])))}
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in found) == sorted((k, *v) for k, v in want.items())
+
+
 def test_near_paragraphs_and_what_stays(spark):
     rng = random.Random(6)
     base = _words(rng, 80)
