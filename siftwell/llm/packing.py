@@ -45,7 +45,8 @@ class _Words:
     those of its space-separated words.  A word of Latin letters is one unit of the
     vocabulary's own merging: unseen ones are merged together in one call without the
     costly normaliser and told apart by the ids that end a word.  Punctuation behind
-    such a word is a unit of its own.  All other words go through the full tokenizer.
+    such a word, or behind an ASCII letter or digit, is a unit of its own.  All other
+    words go through the full tokenizer.
     """
 
     def __init__(self, path: str):
@@ -78,7 +79,8 @@ class _Words:
         for w in words:
             base = w.rstrip(".,;:!?\"')]}*#$%&")
             tail = w[len(base) :]
-            if base in known and tail in known:
+            # behind a symbol the tail would be part of that symbol's unit
+            if base in known and tail in known and base[-1:].isascii() and base[-1:].isalnum():
                 known[w] = known[base] + known[tail]
             elif (unit := self._as_unit(base)) is not None:
                 units[base] = unit

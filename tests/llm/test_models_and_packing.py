@@ -215,6 +215,14 @@ def test_memory_bound_changes_nothing(monkeypatch):
         assert np.frombuffer(words.encode([t or ""])[0], "<u4").tolist() == _tokens(t)[:-1]
 
 
+def test_remembered_words_that_end_in_a_symbol():
+    bases = ["foo(", "foo", "x3", "-", "=", "/", "a-", "[", "{", "<", "|", "@", "said”", "said’", "a–", "é", "e\u0301", "İ", "x²", "ª", "中"]
+    tails = [")", ".", "*", ",", "]", "'", ")."]
+    words = packing._Words(PATH)
+    for t in [*bases, *tails, *(b + t for b in bases for t in tails)]:
+        assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == _tokens(t)[:-1], t
+
+
 def test_fullest_equals_enumeration():
     rng = random.Random(10)
     for _ in range(80):
