@@ -80,7 +80,10 @@ BATCH_ROWS = 1_000
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering the session's rows per Arrow batch to ``BATCH_ROWS`` where it is higher."""
+    """``df``, after lowering the session's rows per Arrow batch to ``BATCH_ROWS`` where it is higher.
+
+    The setting is read when a plan runs, so it has to stay lowered; rows per batch change no result.
+    """
     key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -144,6 +147,28 @@ def large_groups(cuts: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [(int(cuts[k]), int(cuts[k + 1])) for k in big]
 
 
+#: Keys that ``join_hot`` broadcasts at most, and rows of a key that one task takes in any case.
+HOT_KEYS, COOL = 1_000, 1_024
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, ident: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row that ``per_key`` has for each of ``keys``; no key is a hot task.
+
+    ``count`` (a column of ``per_key``) says how many rows a key has.  Keys with more than a
+    ``HOT_KEYS``-th of all, which are fewer than ``HOT_KEYS`` and so may be broadcast, are
+    salted by a hash of ``ident``; their row in ``per_key`` is repeated for each salt.
+    """
+    total, largest = per_key.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    share = max(COOL, -(-total // HOT_KEYS))
+    if largest <= share:
+        return rows.join(per_key, keys, how)
+    salts = F.ceil(F.col(count) / F.lit(share)).cast("int")
+    hot = per_key.where(F.col(count) > share).select(*keys, salts.alias("_salts"))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(ident), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, *, key: str, ident: str, most: int, payload: DataFrame | None = None) -> DataFrame:
     """Compare the rows that share ``key`` without ever holding an unbounded bucket.
 
@@ -157,7 +182,7 @@ def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.
     """
     crowd = stash(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     dealt = (
-        rows.join(crowd, key)
+        join_hot(rows, crowd, [key], "_n", ident)
         .withColumn("_c", F.ceil(F.col("_n") / F.lit(most)).cast("int"))
         .withColumn("_s", F.pmod(F.xxhash64(ident), F.col("_c")).cast("int"))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))

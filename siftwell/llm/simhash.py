@@ -5,10 +5,10 @@ Fingerprints are 64-bit; two link at ``most`` (4) or fewer differing bits.
 Candidates come from pigeonholing: of six segments of a fingerprint, four differing
 bits leave at least two untouched, so linked fingerprints share one of the fifteen
 pairs of segments.  Inside such a bucket a Gray-order hierarchical index finds the
-links: fingerprints sorted by Gray rank are cut into groups; a node keeps the bit
-pattern its group shares (mask and value), an inner node the pattern its children
-share; a pair of nodes is dropped with everything below it once the differences
-accumulated over the bits known to both exceed the limit.
+links, whatever the bucket's size: fingerprints sorted by Gray rank are cut into
+groups; a node keeps the bit pattern its group shares (mask and value), an inner node
+the pattern its children share; a pair of nodes is dropped with everything below it
+once the differences accumulated over the bits known to both exceed the limit.
 
 Only distinct fingerprints are indexed, buckets are dealt in bounded chunks, and a
 bucket reports the edges of its classes, never its pairs.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import bucket_join, components, in_small_batches, large_groups, may_meet, merge_labels, small_pairs, stash
+from siftwell.llm._shared import bucket_join, components, in_small_batches, join_hot, may_meet, merge_labels, stash
 from siftwell.llm.packing import text_chunks
 
 SEED = 42
@@ -35,8 +35,11 @@ MOST = 4
 #: Widths of the six segments.
 SEGMENTS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints that one task group indexes at most.
-BUCKET = 16_384
-LEAF, FAN = 64, 16
+BUCKET = 4_096
+#: Rows under a leaf of the index, and nodes under an inner node.
+LEAF, FAN = 8, 8
+#: Row pairs that are compared at once.
+LANES = 1 << 20
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -77,68 +80,86 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _nodes(lower_mask: np.ndarray, lower_value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shared bit patterns of consecutive runs of ``width`` nodes."""
-    cut = np.arange(0, len(lower_mask), width)
-    ones = np.bitwise_and.reduceat(lower_mask & lower_value, cut)
-    zeros = np.bitwise_and.reduceat(lower_mask & ~lower_value, cut)
+def _nodes(mask: np.ndarray, value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit patterns (mask and value) that the children from each of ``first`` on share."""
+    ones = np.bitwise_and.reduceat(mask & value, first)
+    zeros = np.bitwise_and.reduceat(mask & ~value, first)
     return ones | zeros, ones
 
 
-def link_classes(fp: np.ndarray, side: np.ndarray, most: int = MOST) -> np.ndarray:
+def _cut(owner: np.ndarray, width: int) -> np.ndarray:
+    """Where runs of at most ``width`` start, none of which crosses from one owner to the next."""
+    opens = np.append(True, owner[1:] != owner[:-1])
+    begin = np.flatnonzero(opens)
+    place = np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner))))
+    return np.flatnonzero(place % width == 0)
+
+
+def _longest(owner: np.ndarray) -> int:
+    """Most nodes of one owner."""
+    begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    return int(np.diff(np.append(begin, len(owner))).max())
+
+
+def _opened(a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a child of node ``a`` and one of node ``b``, each unordered pair once; node k has children ``cuts[k]`` to ``cuts[k + 1]``."""
+    wide = cuts[b + 1] - cuts[b]
+    many = (cuts[a + 1] - cuts[a]) * wide
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    wide = np.repeat(wide, many)
+    i, j = np.repeat(cuts[a], many) + nth // wide, np.repeat(cuts[b], many) + nth % wide
+    return i[i <= j], j[i <= j]
+
+
+def link_classes(fp: np.ndarray, side: np.ndarray, owner: np.ndarray | None = None, most: int = MOST) -> np.ndarray:
     """Smallest position of each fingerprint's class under links of ``most`` bits, by the hierarchical index.
 
-    With two sides (0 and 1) only links between the sides count; side -1 meets all.
+    ``owner`` numbers the buckets, in each of which an index is built and searched (all
+    of them together, level by level); without it there is one bucket.  Rows of sides 0
+    and 1 meet only the other side; side -1 meets all.
     """
     n = len(fp)
-    order = np.argsort(gray_rank(fp), kind="stable")
-    x, s = fp[order], side[order]
-    labels = np.arange(n)
-    two = bool((s >= 0).all())
-    levels = [(np.full(n, ~np.uint64(0)), x)]
-    levels.append(_nodes(*levels[0], LEAF))
-    while len(levels[-1][0]) > FAN:
-        levels.append(_nodes(*levels[-1], FAN))
-    mask, value = levels[-1]
-    a, b = np.triu_indices(len(mask))
+    owner = np.zeros(n, np.int64) if owner is None else owner
+    order = np.lexsort((gray_rank(fp), owner))
+    x, s, labels = fp[order], side[order], np.arange(n)
+    levels = [(np.full(n, ~np.uint64(0)), x, owner[order], np.zeros(0, np.int64))]
+    width = LEAF
+    while len(levels) == 1 or _longest(levels[-1][2]) > FAN:
+        mask, value, of, _ = levels[-1]
+        first = _cut(of, width)
+        levels.append((*_nodes(mask, value, first), of[first], np.append(first, len(of))))
+        width = FAN
+    top = levels[-1][2]
+    begin = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+    a, b = _opened(np.arange(len(begin)), np.arange(len(begin)), np.append(begin, len(top)))
     for level in range(len(levels) - 1, 0, -1):
-        mask, value = levels[level]
+        mask, value, _, cuts = levels[level]
         apart = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b])
         a, b = a[apart <= most], b[apart <= most]
-        if level > 1:  # open both nodes of every pair that is left
-            below, width = len(levels[level - 1][0]), FAN
-            i = (a[:, None] * width + np.repeat(np.arange(width), width)).ravel()
-            j = (b[:, None] * width + np.tile(np.arange(width), width)).ravel()
-            keep = (i < below) & (j < below) & (i <= j)
-            pairs = np.unique(i[keep] * below + j[keep])
-            a, b = pairs // below, pairs % below
-    lanes = np.arange(LEAF)
-    for k in range(0, len(a), 64):
-        i = (a[k : k + 64, None] * LEAF + lanes)[:, :, None]
-        j = (b[k : k + 64, None] * LEAF + lanes)[:, None, :]
-        inside = (i < n) & (j < n) & (i < j)
-        i, j = np.minimum(i, n - 1), np.minimum(j, n - 1)
-        near = inside & (np.bitwise_count(x[i] ^ x[j]) <= most)
-        if two:
-            near &= s[i] != s[j]
-        p, q, r = np.nonzero(near)
-        if len(p):
-            labels = merge_labels(labels, i[p, q, 0], j[p, 0, r])
+        if level > 1:
+            a, b = _opened(a, b, cuts)
+    cuts = levels[1][3]
+    done = np.append(0, np.cumsum((cuts[a + 1] - cuts[a]) * (cuts[b + 1] - cuts[b])))
+    k = 0
+    while k < len(a):
+        stop = max(k + 1, int(np.searchsorted(done, done[k] + LANES)))
+        i, j = _opened(a[k:stop], b[k:stop], cuts)
+        near = (i < j) & (np.bitwise_count(x[i] ^ x[j]) <= most) & may_meet(s, i, j)
+        labels = merge_labels(labels, i[near], j[near])
+        k = stop
     out = np.empty(n, dtype=np.int64)
-    out[order] = order[labels]
+    # the class is named by its smallest position in the order that was given
+    low = np.full(n, n)
+    np.minimum.at(low, labels, order)
+    out[order] = low[labels]
     return out
 
 
 def _within(frame: pd.DataFrame, cuts: np.ndarray, side: np.ndarray) -> pd.DataFrame:
     """Edges from the first row of every class to its others."""
-    fp, rep = frame["fp"].to_numpy().view(np.uint64), frame["rep"].to_numpy()
-    label = np.arange(len(fp))
-    for i, j in small_pairs(cuts, LEAF):
-        near = (np.bitwise_count(fp[i] ^ fp[j]) <= MOST) & may_meet(side, i, j)
-        label = merge_labels(label, i[near], j[near])
-    for a, b in large_groups(cuts, LEAF):
-        label[a:b] = a + link_classes(fp[a:b], side[a:b])
-    other = label != np.arange(len(fp))
+    rep = frame["rep"].to_numpy()
+    label = link_classes(frame["fp"].to_numpy().view(np.uint64), side, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)))
+    other = label != np.arange(len(rep))
     return pd.DataFrame({"src": rep[label[other]], "dst": rep[other]})
 
 
@@ -160,10 +181,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty one.
     """
     made = stash(fingerprints(docs))
-    distinct = stash(made.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    distinct = stash(made.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("rep is not null"))
     found = components(fingerprint_links(distinct))
-    named = stash(distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return made.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = stash(distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")))
+    return join_hot(made, named, ["fp"], "n", "doc_id", "left").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -86,6 +87,37 @@ def test_index_equals_all_pairs(n):
         assert len({*zip(got.tolist(), want.tolist(), strict=True)}) == len(set(want.tolist())) == len(set(got.tolist()))
 
 
+def test_index_of_many_buckets_equals_pairs_in_each():
+    rng = np.random.default_rng(3)
+    n = 700
+    owner = np.sort(rng.integers(0, 90, n)) ** 2 // 30
+    x = rng.integers(0, 2**64, 60, dtype=np.uint64)[rng.integers(0, 60, n)] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    near = (np.bitwise_count(x[:, None] ^ x[None, :]) <= 4) & (owner[:, None] == owner[None, :])
+    want = merge_labels(np.arange(n), *np.nonzero(near))
+    assert np.array_equal(simhash.link_classes(x, np.full(n, -1, np.int8), owner), want)
+
+
+def test_every_link_comes_from_the_index(monkeypatch):
+    """Without the index nothing links, however small the buckets are."""
+    frame = pd.DataFrame({"fp": [1, 3, 5, 1, 2**60, 2**60 + 1], "rep": [10, 11, 12, 13, 14, 15]})
+    cuts, side = np.array([0, 2, 4, 6]), np.full(6, -1, np.int8)
+    assert simhash._within(frame, cuts, side).to_numpy().tolist() == [[10, 11], [12, 13], [14, 15]]
+    monkeypatch.setattr(simhash, "link_classes", lambda fp, *_: np.arange(len(fp)))
+    assert not len(simhash._within(frame, cuts, side))
+
+
+def test_hot_keys_are_salted_without_loss(spark, monkeypatch):
+    from siftwell.llm import _shared
+
+    monkeypatch.setattr(_shared, "COOL", 8)
+    rows = spark.createDataFrame([(k, 0 if k < 900 else k % 50) for k in range(1200)], "id long, key long")
+    sizes = rows.groupBy("key").count().where("key <> 7")
+    for how in ("inner", "left"):
+        got = _shared.join_hot(rows, sizes, ["key"], "count", "id", how)
+        want = rows.join(sizes, ["key"], how)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str)
+
+
 def test_hot_bucket_is_dealt_in_chunks_without_loss(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 16)
     fps = [k for k in range(256)]  # one bucket, many links
