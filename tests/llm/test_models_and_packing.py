@@ -223,6 +223,30 @@ def test_remembered_words_that_end_in_a_symbol():
         assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == _tokens(t)[:-1], t
 
 
+def _odd_words(rng, n):
+    """Words of letters, digits and signs of several scripts, many of which are parts of others."""
+    marks = list(".,;:!?'()[]{}<>/-=|@*#$%&_+~^`\"") + list("“”‘’–—…€£«»·°±×¿¡") + ["\u0301", "\u200d", "\u00ad", "😀", "\u3000", "\t", "\u00a0"]
+    stems = ["foo", "Hello", "word", "é", "ÉTÉ", "straße", "naïve", "Ⅷ", "x1", "42", "3.14", "我们", "кот", "ΑΒΓ", "İ", "ŉ", "ﬁ", "a", "I", "don", "e\u0301"]
+    made = []
+    for _ in range(n):
+        parts = [rng.choice(stems if rng.random() < 0.5 else marks) for _ in range(rng.randrange(1, 6))]
+        made.append("".join(parts))
+        if rng.random() < 0.5:
+            made.append("".join(parts[: rng.randrange(len(parts)) + 1]))
+    rng.shuffle(made)
+    return made
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ids_never_depend_on_what_was_seen_before(seed):
+    rng = random.Random(seed)
+    words = _odd_words(rng, 6000)
+    kept = packing._Words(PATH)
+    for k in range(0, len(words), 7):
+        text = " ".join(words[k : k + 7])
+        assert kept.encode([text])[0] == np.asarray(kept.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_fullest_equals_enumeration():
     rng = random.Random(10)
     for _ in range(80):
