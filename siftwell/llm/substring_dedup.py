@@ -115,7 +115,23 @@ def anchors(h: np.ndarray) -> np.ndarray:
     for k in range(0, len(g) - REACH + 1, 1 << 16):  # in parts, for very long texts
         part = g[k : k + (1 << 16) + REACH - 1]
         out.append(np.unique(np.lib.stride_tricks.sliding_window_view(part, REACH).argmin(axis=1) + np.arange(len(part) - REACH + 1)) + k)
-    return np.unique(np.concatenate(out))
+    return _thinned(np.unique(np.concatenate(out)), g)
+
+
+def _thinned(at: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Without places that repeat the last one's words and may go without leaving more than ``REACH`` between two.
+
+    Text that repeats a word or a phrase over and over would otherwise have a window at every turn.
+    """
+    if not (g[at[1:]] == g[at[:-1]]).any():
+        return at
+    value, places = g[at].tolist(), at.tolist()
+    kept = [0]
+    for k in range(1, len(places)):
+        needed = k + 1 == len(places) or places[k + 1] - places[kept[-1]] > REACH
+        if needed or value[k] != value[kept[-1]]:
+            kept.append(k)
+    return at[kept]
 
 
 def _sketches(five: np.ndarray, ranges: np.ndarray) -> np.ndarray:
