@@ -125,6 +125,41 @@ def test_alignment_equals_the_full_table():
         assert decontaminate.align(a, b)[0] == _smith_waterman(a.tolist(), b.tolist())
 
 
+def _edited(rng, words, how, rate):
+    out = []
+    for k, w in enumerate(words):
+        hit = k % 3 == 2 if how == "third" else rng.random() < rate
+        kind = rng.choice("sid") if how == "mixed" else {"third": "s", "swap": "s", "insert": "i", "drop": "d"}[how]
+        out += [w] if not hit else {"s": [f"e{rng.randrange(99)}"], "i": [w, f"e{rng.randrange(99)}"], "d": []}[kind]
+    return out
+
+
+@pytest.mark.parametrize("size", [60, 4000])
+def test_leaks_equal_brute_force_alignment(spark, size):
+    """Every edited copy that the rule counts is found, and no other, whatever the edits and the item's length."""
+    rng = random.Random(size)
+    lengths = [1, 2, 3, 4, 5, 6, 7, 12, 30, 45]
+    items = [(k, _words(rng, n, size)) for k, n in enumerate(lengths * 3)]
+    docs = []
+    for _, own in items:
+        for how, rate in (("third", 0), ("swap", 0.1), ("swap", 0.33), ("mixed", 0.2), ("mixed", 0.33), ("insert", 0.9), ("drop", 0.4)):
+            docs.append(_words(rng, 25, size) + _edited(rng, own, how, rate) + _words(rng, 25, size))
+    want = set()
+    for d, words in enumerate(docs):
+        for i, own in items:
+            number = {w: n for n, w in enumerate(sorted({*words, *own}))}
+            a, b = (np.array([number[w] for w in x]) for x in (own, words))
+            if len(own) < 3:
+                copied = f" {' '.join(own)} " in f" {' '.join(words)} "
+            else:
+                copied = decontaminate.align(a, b)[0] >= len(own)
+            if copied:
+                want.add((d, i))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    assert len(want) > 150 and {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench, block=200).collect()} == want
+
+
 def test_leaks_are_found_and_clean_documents_kept(spark):
     rng = random.Random(7)
     items = [(k, " ".join(_words(rng, rng.randrange(20, 50)))) for k in range(30)] + [(90, "a b"), (91, None), (92, "")]
