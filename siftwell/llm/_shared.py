@@ -147,7 +147,7 @@ def large_groups(cuts: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [(int(cuts[k]), int(cuts[k + 1])) for k in big]
 
 
-#: Keys that ``join_hot`` broadcasts at most, and rows of a key that one task takes in any case.
+#: Keys that ``join_hot`` names at most, and rows of a key that one task takes in any case.
 HOT_KEYS, COOL = 1_000, 1_024
 
 
@@ -155,17 +155,16 @@ def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, i
     """``rows`` joined with the one row that ``per_key`` has for each of ``keys``; no key is a hot task.
 
     ``count`` (a column of ``per_key``) says how many rows a key has.  Keys with more than a
-    ``HOT_KEYS``-th of all, which are fewer than ``HOT_KEYS`` and so may be broadcast, are
-    salted by a hash of ``ident``; their row in ``per_key`` is repeated for each salt.
+    ``HOT_KEYS``-th of all, which are fewer than ``HOT_KEYS``, are salted by a hash of
+    ``ident`` and named in the plan (by the first of ``keys``); their row in ``per_key`` is
+    repeated for each salt.  The plan is the same whether there are any or not.
     """
     total, largest = per_key.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
     share = max(COOL, -(-total // HOT_KEYS))
-    if largest <= share:
-        return rows.join(per_key, keys, how)
-    salts = F.ceil(F.col(count) / F.lit(share)).cast("int")
-    hot = per_key.where(F.col(count) > share).select(*keys, salts.alias("_salts"))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(ident), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    hot = [r[0] for r in per_key.where(F.col(count) > share).select(keys[0]).distinct().collect()] if largest > share else []
+    spread = F.when(F.col(keys[0]).isin(hot), -(-largest // share)).otherwise(1)
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(ident), spread))
+    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), spread.cast("long") - 1)))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import bucket_join, components, large_groups, may_meet, merge_labels, small_pairs, stash
+from siftwell.llm._shared import bucket_join, components, join_hot, large_groups, may_meet, merge_labels, small_pairs, stash
 
 LEAST = 0.9
 #: Estimated share of the pairs at the threshold that the tables find.
@@ -96,12 +96,12 @@ def plan_hashing(size: int, count: int, least: float = LEAST, recall: float = RE
         b = least * a + np.sqrt(1 - least**2) * b
     else:
         b = a
-    trial = Hashing(size, hashes, 12, probes)
+    trial = Hashing(size, hashes, 48, probes)
     meet = (trial.keys(a)[:, :, :, None] == trial.keys(b)[:, :, None, :]).any(axis=(2, 3))
     # pairs differ in how easily they meet, so the estimate is made per pair
-    chance = np.clip(meet.mean(axis=1), 0.02, 0.999)
+    chance = np.clip(meet.mean(axis=1), 0.001, 0.999)
     tables = 1
-    while (1 - (1 - chance) ** tables).mean() < recall and tables < 64:
+    while (1 - (1 - chance) ** tables).mean() < recall:
         tables += 1
     return Hashing(size, hashes, tables, probes)
 
@@ -192,9 +192,9 @@ def near_vectors(vectors: DataFrame, *, least: float = LEAST) -> DataFrame:
     classes = stash(
         distinct.join(linked, "rep", "left")
         .join(named.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select(F.xxhash64("embedding").alias("_hash"), "embedding", "n", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    out = rows.join(classes, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = join_hot(rows.withColumn("_hash", F.xxhash64("embedding")), classes, ["_hash", "embedding"], "n", "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

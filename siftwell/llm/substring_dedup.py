@@ -347,7 +347,7 @@ def _longer(rows: DataFrame, across: str) -> DataFrame:
     Ends that part from what stays at one word and with the same word go on together, beside
     the first of them, until no two do: a trie, walked one branching at a time.
     """
-    spans, group = None, ["kind", "key", "check", "path"]
+    spans, group = None, ["key", "kind", "check", "path"]
     rows = rows.withColumn("path", F.lit(0).cast("long"))
     while True:
         differs = F.array_position(F.zip_with("words", "kept_words", lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(1)), 1)
@@ -405,7 +405,7 @@ def repeated_passages(docs: DataFrame, *, least_chars: int = LEAST_CHARS, within
     going = named.select("key", "check", "component", "n").join(kept, "component")
     spans = join_hot(lines.select("key", "check", "doc_id", "start", "end"), stash(going), ["key", "check"], "n", "doc_id").select("doc_id", "start", "end", "keep.doc_id", "keep.start")
     # the words beside a window, against those beside the one that stays
-    sides = ["kind", "key", "check"]
+    sides = ["key", "kind", "check"]
     words = got.where("kind <> 'set'").select("kind", "doc_id", "start", "key", "words", "places").dropDuplicates(["kind", "doc_id", "start", "key"])
     own = ends.join(words, ["kind", "doc_id", "start", "key"]).withColumn("keep", F.struct("keep.doc_id", "keep.start"))
     stay = ends.groupBy(*sides).agg(F.first("keep").alias("keep"), one)
