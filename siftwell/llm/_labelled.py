@@ -13,20 +13,27 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, per_class: int) -> list[tuple[str, int]]:
+#: Code points of the longest text that is sampled for training (scoring takes texts of any length).
+LONGEST = 8_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, per_class: int, longest: int = LONGEST) -> list[tuple[str, int]]:
     """``(text, label)`` of at most ``per_class`` documents of either class, none of the held-out fold.
 
     The sample is uniform (smallest hash of the id first), so it behaves alike at
     every size.  Its ids are at most ``2 * per_class``, the bound under which they are
-    broadcast to pick the texts out of the documents.  Ids labelled twice keep their
-    largest label; documents that share an id are all taken.
+    broadcast to pick the texts out of the documents; with at most ``longest`` code points
+    a text that bounds what the driver gets.  Sampled documents whose text is longer are
+    left out.  Ids labelled twice keep their largest label; of documents that share an id
+    one is taken (the smallest text), null texts are empty; empty tables give an empty sample.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
     one = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     parts = [one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect()
-    return without_copies([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["text"]))])
+    texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.char_length("text") <= longest)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "y").collect()
+    return without_copies([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"]))])
 
 
 def without_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:

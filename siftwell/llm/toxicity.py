@@ -1,11 +1,12 @@
 """Toxic spans by a linear-chain conditional random field (operator 4).
 
 The training tokens are labelled from their documents: in a toxic document a word is
-toxic if its form (the word or a prefix) is strongly over-represented in toxic
-documents; words of clean documents are clean.  A two-state chain with word and
-prefix features is trained on them.  Forward-backward marginals of the words give
-the offending spans; a document's score is a logistic function of their maximum and
-sum, fitted on the same sample.  A chain is a run of up to ``CHAIN`` words.
+toxic if one of its forms (the word or a prefix) is over-represented in toxic documents
+by a log odds ratio of ``SURE`` standard errors or more; words of clean documents are
+clean.  A two-state chain with word and prefix features is trained on them by the
+gradient of its log likelihood.  Forward-backward marginals of the words give the
+offending spans; a document's score is a logistic function of their maximum and sum,
+fitted on the same sample.  A chain is a sentence, of whatever length.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from siftwell.llm._labelled import labelled_sample
 from siftwell.llm._shared import in_small_batches
 from siftwell.llm.packing import text_chunks
 
+#: Words, and the marks that end a sentence.
 WORD = re.compile(r"[^\W_]+")
-CHAIN = 64
+TOKEN = re.compile(r"[^\W_]+|[.!?\u2026\n\u3002]")
+#: Standard errors by which a form has to lean to toxic documents, and to either side to be a feature.
+SURE, SOME = 3.5, 3.0
 #: Most labelled documents of either class that training looks at.
 PER_CLASS = 1500
 #: Prefix lengths that are features beside the whole word.
@@ -51,98 +55,136 @@ class Model:
         return self.bias + sum(get(f, 0.0) for f in forms(word))
 
 
-def _marginals(e: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """P(state 1) of each word: forward-backward over the rows of ``e`` (log odds of state 1), padded by ``mask``."""
-    n, length = e.shape
-    t = np.exp(moves)
-    odds = np.exp(np.clip(e, -30, 30))
-    alpha = np.empty((length, n, 2))
-    a = np.stack([np.ones(n), odds[:, 0]], axis=1)
-    alpha[0] = a / a.sum(axis=1, keepdims=True)
-    for k in range(1, length):
-        p = alpha[k - 1]
-        a = np.stack([p[:, 0] * t[0, 0] + p[:, 1] * t[1, 0], (p[:, 0] * t[0, 1] + p[:, 1] * t[1, 1]) * odds[:, k]], axis=1)
-        alpha[k] = a / a.sum(axis=1, keepdims=True)
-    b = np.full((n, 2), 0.5)
-    out = np.zeros((n, length))
-    for k in range(length - 1, -1, -1):
-        m = alpha[k] * b
-        out[:, k] = m[:, 1] / m.sum(axis=1)
-        if k:
-            q = np.stack([b[:, 0], b[:, 1] * odds[:, k]], axis=1)
-            back = np.stack([t[0, 0] * q[:, 0] + t[0, 1] * q[:, 1], t[1, 0] * q[:, 0] + t[1, 1] * q[:, 1]], axis=1)
-            back /= back.sum(axis=1, keepdims=True)
-            # padding stands at the end of a row and must not reach back into it
-            b = np.where(mask[:, k : k + 1], back, 0.5)
-    return out * mask
-
-
-def _rows(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fill: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut runs of ``values`` into rows of ``CHAIN``: the rows, their mask, and the index of each value's cell."""
-    per = -(-sizes // CHAIN)
-    first = np.cumsum(per) - per
-    at = np.arange(len(values)) - np.repeat(starts, sizes)
-    cell = np.repeat(first, sizes) * CHAIN + at
-    rows = np.full(int(per.sum()) * CHAIN, fill)
-    mask = np.zeros(len(rows), dtype=bool)
-    rows[cell], mask[cell] = values, True
-    return rows.reshape(-1, CHAIN), mask.reshape(-1, CHAIN), cell
-
-
-def train(sample: list[tuple[str, int]], *, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-4, odds: float = 3.0, share: float = 0.012) -> Model:
+def _steps(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all chains step by step, the longest chain first, and where each step starts.
+
+    The chains that still run at a step are the first ones of the step before.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    size, begin = sizes[order], (np.cumsum(sizes) - sizes)[order]
+    running = np.searchsorted(-size, -np.arange(size[0]), side="left")
+    cuts = np.append(0, np.cumsum(running))
+    step = np.repeat(np.arange(len(running)), running)
+    return begin[np.arange(cuts[-1]) - cuts[step]] + step, cuts
+
+
+def forward_backward(e: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Chains laid end to end: P(state 1) of each word, expected moves (2 x 2, all chains), and the log partition sum.
+
+    ``e`` has the log odds of state 1; ``moves`` the log potentials of neighbouring states.
+    Messages are kept as the share of state 1.
+    """
+    if not len(e):
+        return e, np.zeros((2, 2)), 0.0
+    (t00, t01), (t10, t11) = t = np.exp(moves)
+    words, cuts = _steps(sizes)
+    odds = np.exp(np.clip(e, -30, 30))[words]
+    norm = 1 + odds
+    ahead = odds / norm
+    for a, b, z in zip(cuts[:-2].tolist(), cuts[1:-1].tolist(), cuts[2:].tolist(), strict=True):
+        before = ahead[a : a + z - b]
+        one = (t01 + (t11 - t01) * before) * odds[b:z]
+        norm[b:z] = one + t00 + (t10 - t00) * before
+        ahead[b:z] = one / norm[b:z]
+    behind = np.full(len(e), 0.5)
+    for a, b, z in zip(cuts[-3::-1].tolist(), cuts[-2:0:-1].tolist(), cuts[:1:-1].tolist(), strict=True):
+        one = behind[b:z] * odds[b:z]
+        none = 1 - behind[b:z]
+        stays = t10 * none + t11 * one
+        behind[a : a + z - b] = stays / (stays + t00 * none + t01 * one)
+    both = ahead * behind
+    out = np.empty(len(e))
+    out[words] = both / (both + (1 - ahead) * (1 - behind))
+    later = np.arange(cuts[1], cuts[-1])
+    before = ahead[later - np.repeat(np.diff(cuts[:-1]), np.diff(cuts[1:]))]
+    after = np.stack([1 - behind[later], behind[later] * odds[later]])
+    joint = np.stack([1 - before, before])[:, None] * t[:, :, None] * after[None]
+    return out, (joint / joint.sum(axis=(0, 1))).sum(axis=2), float(np.log(norm).sum())
+
+
+def log_likelihood(gold: np.ndarray, e: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of 0/1 labels: its value, its gradient in ``e`` (a word each) and in ``moves``."""
+    p, hoped, log_z = forward_backward(e, sizes, moves)
+    inside = np.ones(len(gold), dtype=bool)
+    inside[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    after = np.flatnonzero(inside)
+    real = np.bincount(2 * gold[after - 1].astype(int) + gold[after].astype(int), minlength=4).reshape(2, 2).astype(float)
+    return float((gold * e).sum() + (real * moves).sum() - log_z), gold - p, real - hoped
+
+
+def sentences(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text and the sizes of its sentences."""
+    words: list[str] = []
+    sizes, last = [], 0
+    for t in TOKEN.findall(text):
+        if t[0].isalnum():
+            words.append(t)
+        elif len(words) > last:
+            sizes.append(len(words) - last)
+            last = len(words)
+    if len(words) > last:
+        sizes.append(len(words) - last)
+    return words, sizes
+
+
+def leaning(with_toxic: np.ndarray, with_clean: np.ndarray, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds ratios of forms by the documents that hold them (half a document added), and how many standard errors that is."""
+    a, b = with_toxic + 0.5, with_clean + 0.5
+    c, d = toxic - with_toxic + 0.5, clean - with_clean + 0.5
+    ratio = np.log(a * d) - np.log(b * c)
+    return ratio, ratio / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+
+
+def train(sample: list[tuple[str, int]], *, rounds: int = 30, rate: float = 0.8, ridge: float = 1e-2, sure: float = SURE) -> Model:
     """Fit the field and the document head; with one class only, every score is the smoothed share of that class."""
     total = Counter(y for _, y in sample)
     if not total[0] or not total[1]:
         share = (total[1] + 1) / (len(sample) + 2) if sample else 0.0
         return Model({}, 0.0, (0.0,) * 4, (float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 0.0, 0.0))
-    docs = [[w.lower() for w in WORD.findall(t)] for t, _ in sample]
     y = np.array([c for _, c in sample])
-    least = max(4, round(share * total[1]))  # documents that a form needs to count as evidence
-    seen = (Counter(), Counter())
-    for words, c in zip(docs, y, strict=True):
-        seen[c].update({f for w in set(words) for f in forms(w)})
-    strength = {f: np.log((n + 0.5) / (total[1] + 1)) - np.log((seen[0][f] + 0.5) / (total[0] + 1)) for f, n in seen[1].items() if n >= least}
-    toxic = {f for f, s in strength.items() if s >= odds}
-    # the shortest form that tells is enough; a form that says nothing either way is no feature
-    features = {f: k for k, f in enumerate(sorted(f for f in {*strength, *(f for f, n in seen[0].items() if n >= 2 * share * total[0])} if abs(strength.get(f, -1.0)) > 0.5))}
-    words = sorted({w for d in docs for w in d})
+    split = [sentences(t.lower()) for t, _ in sample]
+    words = sorted({w for own, _ in split for w in own})
     number = {w: k for k, w in enumerate(words)}
-    pairs = [(k, features[f]) for k, w in enumerate(words) for f in forms(w) if f in features]
-    of_word, of_feature = (np.array(c, dtype=np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    marked = np.array([any(f in toxic for f in forms(w)) for w in words], dtype=float)
-    ids = np.array([number[w] for d in docs for w in d], dtype=np.int64)
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    gold_word = marked[ids] * np.repeat(y, sizes)
-    gold, mask, cell = _rows(gold_word, starts, sizes, 0.0)
+    known = {f: k for k, f in enumerate(sorted({f for w in words for f in forms(w)}))}
+    of_word = np.repeat(np.arange(len(words)), [len(forms(w)) for w in words])
+    of_form = np.array([known[f] for w in words for f in forms(w)], dtype=np.int64)
+    begin = np.searchsorted(of_word, np.arange(len(words) + 1))
+    seen = np.zeros((2, len(known)))
+    docs = [np.array([number[w] for w in own], dtype=np.int64) for own, _ in split]
+    for own, c in zip(docs, y, strict=True):
+        held = np.unique(own)
+        if len(held):
+            seen[c, np.unique(np.concatenate([of_form[begin[k] : begin[k + 1]] for k in held.tolist()]))] += 1
+    _, certain = leaning(seen[1], seen[0], total[1], total[0])
+    marked = np.zeros(len(words))
+    marked[of_word[(certain >= sure)[of_form]]] = 1.0
+    useful = np.abs(certain) >= min(SOME, sure)
+    features = {f: n for n, f in enumerate(f for f, k in known.items() if useful[k])}
+    place = np.cumsum(useful) - 1
+    of_word, of_feature = of_word[useful[of_form]], place[of_form[useful[of_form]]]
+    ids = np.concatenate([np.zeros(0, np.int64), *docs])
+    gold = marked[ids] * np.repeat(y, [len(d) for d in docs])
+    sizes = np.array([n for _, own in split for n in own], dtype=np.int64)
     theta, bias, moves = np.zeros(len(features)), -3.0, np.zeros((2, 2))
     g_theta, g_bias, g_moves = np.full(len(features), 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    both = mask[:, 1:] & mask[:, :-1]
     for _ in range(rounds):
         score = bias + np.bincount(of_word, theta[of_feature], len(words))
-        e = np.zeros(gold.size)
-        e[cell] = score[ids]
-        p = _marginals(e.reshape(gold.shape), mask, moves)
-        gap = (gold - p) * mask
-        by_word = np.bincount(ids, gap.ravel()[cell], len(words))
-        d_theta = np.bincount(of_feature, by_word[of_word], len(features)) - ridge * len(ids) * 1e-3 * theta
-        d_bias = gap.sum()
-        # expected moves from neighbouring marginals, as independent within a step
-        real = np.array([[(((gold[:, :-1] == i) & (gold[:, 1:] == j)) & both).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
-        q = (1 - p, p)
-        hoped = np.array([[(q[i][:, :-1] * q[j][:, 1:] * both).sum() for j in (0, 1)] for i in (0, 1)])
-        d_moves = real - hoped - ridge * len(ids) * 1e-2 * moves
+        _, gap, d_moves = log_likelihood(gold, score[ids], sizes, moves)
+        by_word = np.bincount(ids, gap, len(words))
+        d_theta = np.bincount(of_feature, by_word[of_word], len(features)) - ridge * theta
+        d_bias, d_moves = gap.sum(), d_moves - ridge * moves
         g_theta += d_theta**2
         g_bias += d_bias**2
         g_moves += d_moves**2
         theta += rate * d_theta / np.sqrt(g_theta)
         bias += rate * d_bias / np.sqrt(g_bias)
         moves += 0.2 * rate * d_moves / np.sqrt(g_moves)
-    weights = {f: float(theta[k]) for f, k in features.items() if abs(theta[k]) > 1e-3}
+    # a word's emission adds up its forms, most of which hardly weigh
+    weights = {f: float(theta[k]) for f, k in features.items() if abs(theta[k]) > 1e-2}
     model = Model(weights, float(bias), tuple(float(v) for v in moves.ravel()), (0.0, 1.0, 0.0))
-    score = bias + np.bincount(of_word, theta[of_feature], len(words))
-    p = _flat_marginals(score[ids], sizes, model)
-    x = _document_features(p, sizes)
+    own = np.array([model.emission(w) for w in words])
+    p = forward_backward(own[ids], sizes, moves)[0] if len(ids) else np.zeros(0)
+    x = _document_features(p, np.array([len(d) for d in docs], dtype=np.int64))
     w = np.zeros(3)
     w[1] = 1.0
     for _ in range(30):  # Newton steps of a ridge logistic regression
@@ -153,14 +195,6 @@ def train(sample: list[tuple[str, int]], *, rounds: int = 60, rate: float = 0.5,
     return model
 
 
-def _flat_marginals(emissions: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
-    if not len(emissions):
-        return emissions
-    starts = np.cumsum(sizes) - sizes
-    e, mask, cell = _rows(emissions, starts, sizes, 0.0)
-    return _marginals(e, mask, np.array(model.moves).reshape(2, 2)).ravel()[cell]
-
-
 def _document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Constant, scaled logit of the largest marginal, log of 1 + the sum of the marginals above a half."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -188,13 +222,14 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             for _, texts in text_chunks(batch, "text"):
                 if len(known) > MEMORY:
                     known.clear()
-                words = [WORD.findall(t) for t in texts]
+                split = [sentences(t) for t in texts]
+                words = [own for own, _ in split]
                 for w in {w for ws in words for w in ws if w not in known}:
                     known[w] = model.emission(w.lower())
                 get = known.__getitem__
                 e = np.array([get(w) for ws in words for w in ws], dtype=float)
                 sizes = np.array([len(ws) for ws in words], dtype=np.int64)
-                p = _flat_marginals(e, sizes, model)
+                p = forward_backward(e, np.array([n for _, own in split for n in own], dtype=np.int64), np.array(model.moves).reshape(2, 2))[0]
                 z = _document_features(p, sizes) @ np.array(model.head)
                 scores.extend((1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist())
                 at = 0

@@ -31,6 +31,9 @@ def test_sample_leaves_the_held_out_fold_alone(spark):
     used = {int(t.split()[1]) for t, _ in got}
     assert used and all(zlib.crc32(str(k).encode()) % 5 for k in used) and len(got) <= 20
     assert labelled_sample(docs, labels, "quality", folds=5, held_out=0, per_class=10) == [("text 3 " * 6, 1)]
+    long = docs.limit(30).unionByName(docs.where("doc_id is not null"))  # repeated ids, and texts over the bound
+    assert labelled_sample(long, labels, "toxic", folds=5, held_out=0, per_class=10) == got
+    assert labelled_sample(docs, labels, "toxic", folds=5, held_out=0, per_class=10, longest=5) == []
     assert docs.where(fold(docs["doc_id"], 5).isNull()).count() == 1
     assert without_copies([("a b c d e f", 1), ("a b c d e f", 1), ("a b c d e f", 0)]) == [("a b c d e f", 1), ("a b c d e f", 0)]
 
@@ -47,11 +50,28 @@ def _brute_marginals(e, moves):
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     moves = rng.standard_normal((2, 2))
-    e = rng.standard_normal((5, 7))
-    mask = np.arange(7)[None, :] < np.array([7, 3, 1, 6, 2])[:, None]
-    got = toxicity._marginals(e, mask, moves)
-    for row, m, out in zip(e, mask, got, strict=True):
-        np.testing.assert_allclose(out[m], _brute_marginals(row[m], moves), rtol=1e-9)
+    sizes = np.array([7, 3, 1, 6, 2])
+    e = rng.standard_normal(sizes.sum())
+    got = toxicity.forward_backward(e, sizes, moves)[0]
+    for own, out in zip(np.split(e, np.cumsum(sizes)[:-1]), np.split(got, np.cumsum(sizes)[:-1]), strict=True):
+        np.testing.assert_allclose(out, _brute_marginals(own, moves), rtol=1e-9)
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(2)
+    sizes = np.array([4, 1, 5, 2])
+    gold, e, moves = rng.integers(0, 2, 12).astype(float), rng.standard_normal(12), rng.standard_normal((2, 2))
+    value, by_e, by_moves = toxicity.log_likelihood(gold, e, sizes, moves)
+    assert value < 0
+    step = 1e-6
+    for k in range(12):
+        up = e.copy()
+        up[k] += step
+        assert abs((toxicity.log_likelihood(gold, up, sizes, moves)[0] - value) / step - by_e[k]) < 1e-4
+    for k in itertools.product((0, 1), repeat=2):
+        up = moves.copy()
+        up[k] += step
+        assert abs((toxicity.log_likelihood(gold, e, sizes, up)[0] - value) / step - by_moves[k]) < 1e-4
 
 
 @pytest.fixture(scope="module")
