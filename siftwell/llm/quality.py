@@ -1,9 +1,10 @@
 """Quality scores by naive Bayes support vectors (operator 9).
 
-Indicators of word and punctuation n-grams (one and two tokens) are scaled by their
-class log-count ratios; a linear hinge-loss model is fitted on them by dual
-coordinate descent; its margins become probabilities by a logistic fit on sample
-documents that the model did not see.
+Indicators of n-grams - of one and two words or signs, and of one to three characters -
+are hashed to ``2 ** BITS`` features and scaled by their class log-count ratios; a
+linear hinge-loss model is fitted on them by dual coordinate descent; its margins
+become probabilities by a logistic fit on sample documents that the model did not see.
+Every n-gram of the sample counts, however rare.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,41 +27,57 @@ from siftwell.llm.packing import text_chunks
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Most labelled documents of either class that training looks at.
 PER_CLASS = 2000
-#: N-grams in the vocabulary, and documents that one needs.
-VOCABULARY, SUPPORT = 40_000, 5
+#: Logarithm of the number of hashed features.
+BITS = 20
+#: Characters of an n-gram at most, and characters whose n-grams are hashed at once.
+LETTERS, PART = 3, 1 << 17
 MEMORY = 300_000
 
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
-def shape(token: str) -> str:
-    """A token's feature: lower case; all-capital words of two letters or more keep a mark."""
-    return "^" + token.lower() if len(token) > 1 and token.isupper() else token.lower()
 
+def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
+    """Feature numbers of n-gram hashes; every kind of n-gram is spread on its own."""
+    x = x ^ np.uint64(kind * int(_MIX[2]) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - BITS)).astype(np.int64)
 
-#: Features that stand for a kind of token rather than for one.
-KINDS = ("^*", "0*", "=*")
 
+class _Known(dict):
+    """Hashes of tokens in lower case, made as they are asked for."""
 
-def kinds(tokens: list[str]) -> set[str]:
-    """Which kinds of token a text has: capitals, numbers, a token right after itself."""
-    found = set()
-    if any(len(t) > 1 and t.isupper() for t in tokens):
-        found.add(KINDS[0])
-    if any(t.isdigit() for t in tokens):
-        found.add(KINDS[1])
-    if any(a == b for a, b in zip(tokens, tokens[1:], strict=False)):
-        found.add(KINDS[2])
-    return found
+    def __missing__(self, token: str) -> int:
+        self[token] = made = xxhash.xxh64_intdigest(token.lower().encode())
+        return made
 
 
-def grams(text: str) -> set[str]:
-    tokens = TOKEN.findall(text)
-    parts = [shape(t) for t in tokens]
-    return {*parts, *map(" ".join, zip(parts, parts[1:], strict=False)), *kinds(tokens)}
+class Grams:
+    """The feature numbers of texts, with a bounded memory of tokens."""
+
+    def __init__(self) -> None:
+        self.known = _Known()
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Sorted, each once."""
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        tokens = TOKEN.findall(text)
+        h = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        found = [_bucket(h, 1), _bucket(h[:-1] * _MIX[2] + h[1:], 2)]
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        for a in range(0, len(letters), PART):
+            part = letters[a : a + PART + LETTERS - 1]
+            x = np.zeros(len(part), dtype=np.uint64)
+            for n in range(1, LETTERS + 1):
+                x = x[: len(part) - n + 1] * np.uint64(0x100000001B3) + part[n - 1 :] if len(part) >= n else x[:0]
+                found.append(np.unique(_bucket(x, 2 + n)))
+        return np.unique(np.concatenate(found))
 
 
 @dataclass
 class Model:
-    weights: dict[str, float]  # log-count ratio times the linear weight
+    weights: np.ndarray  # by feature: log-count ratio times the linear weight
     bias: float
     scale: float
     shift: float
@@ -68,24 +86,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * (margin + self.bias) + self.shift, -30, 30)))
 
 
-def _support(sample: list[tuple[str, int]], least: int) -> dict[str, tuple[int, int]]:
-    """Documents of either class that hold an n-gram, for n-grams of ``least`` documents or more.
-
-    A pair is counted only where both its tokens have the support, which it can't exceed:
-    the many pairs of rare words are never held in memory.
-    """
-    one = (Counter(), Counter())
-    for text, c in sample:
-        tokens = TOKEN.findall(text)
-        one[c].update({*map(shape, tokens), *kinds(tokens)})
-    both = {g: (one[0][g], one[1][g]) for g in one[0].keys() | one[1].keys() if one[0][g] + one[1][g] >= least}
-    two = (Counter(), Counter())
-    for text, c in sample:
-        parts = [p if p in both else None for p in map(shape, TOKEN.findall(text))]
-        two[c].update({f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False) if a is not None and b is not None})
-    return both | {g: (two[0][g], two[1][g]) for g in two[0].keys() | two[1].keys() if two[0][g] + two[1][g] >= least}
-
-
 def dual_descent(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, cost: np.ndarray, *, passes: int = 20, seed: int = 7) -> np.ndarray:
     """Hinge-loss weights: rows hold feature numbers (the last one is the constant), ``x`` the features' values."""
     rng = np.random.default_rng(seed)
@@ -107,7 +107,7 @@ def dual_descent(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, cost: np.
     return w
 
 
-def train(sample: list[tuple[str, int]], *, cost: float = 0.3, calibration: int = 4, share: float | None = None) -> Model:
+def train(sample: list[tuple[str, int]], *, cost: float = 0.003, calibration: int = 4, share: float | None = None) -> Model:
     """Fit on the sample; every ``calibration``-th document only calibrates.
 
     ``share`` of label 1 among all labelled documents weighs the classes of the
@@ -116,7 +116,7 @@ def train(sample: list[tuple[str, int]], *, cost: float = 0.3, calibration: int
     total = Counter(y for _, y in sample)
     if not total[0] or not total[1]:
         share = (total[1] + 1) / (len(sample) + 2) if sample else 0.0
-        return Model({}, 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+        return Model(np.zeros(0), 0.0, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     y = np.array([c for _, c in sample])
     # every n-th document of each class is kept for the calibration
     rank = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
@@ -124,22 +124,23 @@ def train(sample: list[tuple[str, int]], *, cost: float = 0.3, calibration: int
     if not (y[~held] == 0).any() or not (y[~held] == 1).any() or not held.any():
         held = np.zeros(len(y), dtype=bool)
     n = [int(((y == c) & ~held).sum()) for c in (0, 1)]
-    least = SUPPORT if len(sample) >= 200 else 2
-    fit_on = [(t, c) for (t, c), h in zip(sample, held, strict=True) if not h]
-    seen = _support(fit_on, least)
-    ratio = {g: float(np.log((k[1] + 1) / (n[1] + 2)) - np.log((k[0] + 1) / (n[0] + 2))) for g, k in seen.items()}
-    order = sorted(ratio, key=lambda g: (-abs(ratio[g]) * np.sqrt(sum(seen[g])), g))[:VOCABULARY]
-    number = {g: k for k, g in enumerate(order)}
-    x = np.array([*(ratio[g] for g in order), 1.0])
-    rows = [np.array([*sorted(number[g] for g in grams(t) if g in number), len(order)], dtype=np.int64) for t, _ in sample]
+    grams = Grams()
+    rows = [grams(t) for t, _ in sample]
+    seen = np.zeros((2, 1 << BITS))
+    for r, c, h in zip(rows, y, held, strict=True):
+        if not h:
+            seen[c, r] += 1
+    ratio = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
+    # the last feature is the constant; one that the fitted documents don't hold says nothing
+    x = np.append(np.where(seen.sum(axis=0) > 0, ratio, 0.0), 1.0)
+    rows = [np.append(r, len(x) - 1) for r in rows]
     balance = np.where(y == 1, len(y) / (2 * total[1]), len(y) / (2 * total[0])) * cost
     fitted = np.flatnonzero(~held)
     w = dual_descent([rows[i] for i in fitted], x, np.where(y[fitted] == 1, 1.0, -1.0), balance[fitted])
     margin = np.array([float(w[r] @ x[r]) for r in rows])
     on = held if held.any() else np.ones(len(y), dtype=bool)
     scale, shift = _logistic(margin[on], y[on], share if share else total[1] / len(y))
-    weights = {g: float(w[k] * x[k]) for g, k in number.items() if w[k]}
-    return Model(weights, float(w[-1]), scale, shift)
+    return Model((w * x)[:-1], float(w[-1]), scale, shift)
 
 
 def _logistic(margin: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
@@ -157,45 +158,6 @@ def _logistic(margin: np.ndarray, y: np.ndarray, share: float) -> tuple[float, f
     return float(max(w[0], 0.0)), float(w[1])
 
 
-class _Scorer:
-    """Margins of texts with a worker's memory of token numbers."""
-
-    def __init__(self, model: Model):
-        self.one = {g: w for g, w in model.weights.items() if " " not in g and g not in KINDS}
-        self.kinds = {k: model.weights.get(k, 0.0) for k in KINDS}
-        pairs = [(*g.split(" "), w) for g, w in model.weights.items() if " " in g]
-        tokens = sorted({*self.one, *(t for a, b, _ in pairs for t in (a, b))})
-        self.number = {t: k for k, t in enumerate(tokens)}
-        self.base = len(tokens) + 1
-        self.single = np.array([*(self.one.get(t, 0.0) for t in tokens), 0.0])
-        keys = sorted((self.number[a] * self.base + self.number[b], w) for a, b, w in pairs)
-        self.keys = np.array([k for k, _ in keys], dtype=np.int64)
-        self.pair = np.array([w for _, w in keys])
-        self.known: dict[str, int] = {}
-
-    def margin(self, text: str) -> float:
-        tokens = TOKEN.findall(text)
-        known, number, none = self.known, self.number, self.base - 1
-        if len(known) > MEMORY:
-            known.clear()
-        try:
-            ids = np.array([known[t] for t in tokens], dtype=np.int64)
-        except KeyError:
-            for t in tokens:
-                if t not in known:
-                    known[t] = number.get(shape(t), none)
-            ids = np.array([known[t] for t in tokens], dtype=np.int64)
-        total = sum(self.kinds[k] for k in kinds(tokens))
-        if len(ids):
-            total += float(self.single[np.unique(ids)].sum())
-        if len(ids) > 1 and len(self.keys):
-            both = (ids[:-1] < none) & (ids[1:] < none)
-            pairs = np.unique(ids[:-1][both] * self.base + ids[1:][both])
-            at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
-            total += float(self.pair[at[self.keys[at] == pairs]].sum())
-        return total
-
-
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` to every row of ``docs``.
 
@@ -206,9 +168,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model)
+        grams, weights = Grams(), model.weights
         for batch in batches:
-            margins = [scorer.margin(t) for _, texts in text_chunks(batch, "text") for t in texts]
+            margins = [float(weights[grams(t)].sum()) if len(weights) else 0.0 for _, texts in text_chunks(batch, "text") for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(model.probability(np.array(margins, dtype=float)))], names=[*names, "score"])
 
     chosen = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in names))
