@@ -59,18 +59,29 @@ def has_term(text: Column, term: Column) -> Column:
     return (F.trim(term) != "") & F.rlike(text, pattern)
 
 
-def term_hits(text: Column, terms: Sequence[str]) -> Column:
-    """The terms found, in vocabulary order.
+def _hit(text: Column, low: Column, term: str) -> Column:
+    """A term's longest word is looked for as plain bytes first; only texts that have it are searched with the pattern."""
+    return low.contains(max(term.lower().split(), key=len)) & text.rlike(term_pattern(term))
 
-    A term's longest word is looked for as plain bytes first; only texts that have it
-    are searched with the pattern.
-    """
-    terms = [t for t in terms if t.strip()]
+
+def term_hits(text: Column, terms: Sequence[str], low: Column | None = None) -> Column:
+    """The terms found, in vocabulary order; ``low`` is :func:`folded_case` of the text where it is at hand."""
+    terms = [t for t in dict.fromkeys(terms) if t.strip()]
     if not terms:
         return no_strings()
-    low = folded_case(text)
-    may = lambda t: low.contains(max(t.lower().split(), key=len))
-    return F.array_compact(F.array(*(F.when(may(t) & text.rlike(term_pattern(t)), F.lit(t)) for t in terms)))
+    low = folded_case(text) if low is None else low
+    # nulls go by a set difference, which stays in generated code
+    return F.array_except(F.array(*(F.when(_hit(text, low, t), F.lit(t)) for t in terms)), F.array(F.lit(None).cast("string")))
+
+
+def has_any_term(text: Column, terms: Sequence[str], low: Column | None = None) -> Column:
+    """Whether any term is found: one condition, which stops at the first that is."""
+    terms = [t for t in dict.fromkeys(terms) if t.strip()]
+    low = folded_case(text) if low is None else low
+    out = F.lit(False)
+    for t in reversed(terms):
+        out = _hit(text, low, t) | out
+    return out
 
 
 def sentences(text: Column) -> Column:

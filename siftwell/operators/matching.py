@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.entities import mentions
-from siftwell.functions.text import quote, reason, term_hits, text_of
+from siftwell.functions.text import folded_case, has_any_term, quote, reason, term_hits, text_of
 
 #: The default vocabularies, in the order that reasons name them.
 HIRING_TERMS = (
@@ -42,6 +42,7 @@ NARRATIVE = (
     r"|\binternship\s+(?:program|module|course|coordinator|journey|story|diary|experience)\b"
     r"|\bintern(?:s)?\s+(?:program|module|course)\b|\bstudent intern\b|\bformer intern\b|\bex-?intern\b"
 )
+#: Phrases in which somebody tells of what is over, and the words that may stand between a cue and a role.
 CELEBRATION = (
     r"\b(?:completed|finished|wrapped up)\s+(?:my|our|an?)\s*internship\b|\b(?:internship|intern)\s+(?:journey|story|experience|diary)\b"
     r"|\b(?:offer accepted|excited to (?:share|announce).{0,60}\b(?:joined|intern))\b"
@@ -65,14 +66,18 @@ class Vocabulary:
 
 
 def match_terms(df: DataFrame, text: str = "post_text", vocabulary: Vocabulary = Vocabulary(), *, prefix: str = "") -> DataFrame:
-    """Add ``matched`` and ``reasons``; the hits of the three groups are computed once each."""
+    """Add ``matched`` and ``reasons``.
+
+    The match is a condition of its own, which looks no further than it has to; the hits
+    are listed only where the reasons are used.
+    """
     own = text_of(text)
-    names = {g: f"_{g}_hits" for g in vocabulary.groups}
-    out = df.withColumns({names[g]: term_hits(own, getattr(vocabulary, g)) for g in vocabulary.groups})
-    some = {g: F.size(names[g]) > 0 for g in vocabulary.groups}
-    rule = some["hiring"] & some["role"] & some["domain"] if vocabulary.mode == "all" else some["hiring"] & (some["role"] | some["domain"])
-    reasons = F.when(own == "", F.array(F.lit("no post text"))).otherwise(F.array(*(reason(g, F.col(names[g])) for g in vocabulary.groups)))
-    return out.withColumns({f"{prefix}matched": rule, f"{prefix}reasons": reasons}).drop(*names.values())
+    out = df.withColumn("_low", folded_case(own))
+    low, terms = F.col("_low"), {g: getattr(vocabulary, g) for g in vocabulary.groups}
+    some = {g: has_any_term(own, terms[g], low) for g in vocabulary.groups}
+    rule = some["role"] & some["hiring"] & some["domain"] if vocabulary.mode == "all" else some["hiring"] & (some["role"] | some["domain"])
+    reasons = F.when(own == "", F.array(F.lit("no post text"))).otherwise(F.array(*(reason(g, term_hits(own, terms[g], low)) for g in vocabulary.groups)))
+    return out.withColumns({f"{prefix}matched": rule, f"{prefix}reasons": reasons}).drop("_low")
 
 
 def candidate_net(df: DataFrame, company: Column, haystack: Column, text: str = "post_text", vocabulary: Vocabulary = Vocabulary()) -> DataFrame:

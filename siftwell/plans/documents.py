@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import identity_key, prompt_head, search_tokens, sentences, snippet, term_hits, text_of
+from siftwell.functions.text import folded_case, has_any_term, identity_key, prompt_head, search_tokens, sentences, snippet, text_of
 from siftwell.operators.funnel import drop_map, first_stage, funnel, keep_first, tally, top_counts
 from siftwell.operators.matching import Vocabulary, match_terms
 from siftwell.plans.registry import query, table
@@ -39,9 +39,9 @@ def _reason_sql(g: str) -> str:
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", text_of("text").alias("text"))
-    hits = docs.withColumns({g: term_hits(F.col("text"), WORDS[g]) for g in WORDS})
-    none = lambda g: F.size(g) == 0
-    return hits.withColumn("stage", first_stage([("too_short", F.char_length("text") < 200), ("no_hiring", none("hiring")), ("no_role", none("role")), ("no_domain", none("domain"))]))
+    own = docs.withColumn("low", folded_case(F.col("text")))
+    none = lambda g: ~has_any_term(F.col("text"), WORDS[g], F.col("low"))
+    return own.withColumn("stage", first_stage([("too_short", F.char_length("text") < 200), ("no_hiring", none("hiring")), ("no_role", none("role")), ("no_domain", none("domain"))])).drop("low")
 
 
 @query(f"{_HITS} SELECT doc_id, {_ALL_SQL} AS matched FROM h")
