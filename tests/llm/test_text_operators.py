@@ -50,6 +50,33 @@ def test_licence_places_equal_brute_force(spark):
     assert max(h["score"] for h in got[3]["hits"]) == pytest.approx(1.0)
 
 
+def test_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    templates = license_scan.TEMPLATES
+    vocabulary = sorted({w for t in templates for w in t.words})
+    texts = []
+    for k in range(90):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(40))]
+        for t in rng.sample(templates, 2):
+            own = [w if rng.random() < (1.0 if k % 3 else 0.9) else "other" for w in t.words]
+            words[rng.randrange(len(words) + 1) : 0] = own
+        texts.append(" ".join(words))
+    idf = {w: 0.5 + (sum(map(ord, w)) % 17) for w in vocabulary}
+    got = license_scan.scan_licences(_docs(spark, texts).withColumnRenamed("pii", "_words"), idf=idf).orderBy("doc_id").collect()
+    found = 0
+    for r, text in zip(got, texts, strict=True):
+        words, want = text.split(), []
+        for t in templates:
+            for o in range(len(words)):
+                if words[o : o + len(t.key)] == t.key:
+                    there = [idf[w] for q, w in enumerate(t.words) if 0 <= o + q - t.key_at < len(words) and words[o + q - t.key_at] == w]
+                    want.append((t.label, t.base, o, len(t.key), round(min(1.0, sum(there) / sum(idf[w] for w in t.words)), 9)))
+        assert sorted((h["label"], h["base"], h["start"], h["n_words"], round(h["score"], 9)) for h in r["hits"]) == sorted(want)
+        assert r["_words"] == "own"
+        found += len(want)
+    assert found > 100
+
+
 def test_licences_of_an_empty_table(spark):
     assert license_scan.scan_licences(_docs(spark, []).drop("hits")).collect() == []
 
