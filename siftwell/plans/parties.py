@@ -25,9 +25,10 @@ def company_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suppliers(spark, sf_dir).select("s_suppkey", fold_company(F.col("name")).alias("folded"))
 
 
-@query(f"WITH a AS (SELECT DISTINCT {_FOLD.format('p_name')} AS a FROM part WHERE p_partkey % 10 = 0), d AS (SELECT doc_id, {_FOLD.format('substr(text, 1, 60)')} AS f FROM documents WHERE text IS NOT NULL), s AS (SELECT s_suppkey, {_FOLD.format(_NAME)} AS f FROM supplier) SELECT s_suppkey FROM s WHERE EXISTS (SELECT 1 FROM (SELECT {_FOLD.format('s_name')} AS e FROM supplier WHERE s_suppkey % 3 = 0) x WHERE contains(' ' || f || ' ', ' ' || e || ' ') OR contains(' ' || e || ' ', ' ' || f || ' '))")
+@query(f"WITH s AS (SELECT s_suppkey, {_FOLD.format(_NAME)} AS f FROM supplier) SELECT s_suppkey FROM s WHERE EXISTS (SELECT 1 FROM (SELECT {_FOLD.format('s_name')} AS e FROM supplier WHERE s_acctbal >= 0) x WHERE contains(' ' || f || ' ', ' ' || e || ' ') OR contains(' ' || e || ' ', ' ' || f || ' '))")
 def allowlist_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"))
+    """Suppliers in good standing are the allow-list."""
+    allowed = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_name").alias("name"))
     return allowlist_semi_join(_suppliers(spark, sf_dir), "name", allowed).select("s_suppkey")
 
 
