@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from siftwell.plans import conversations, documents, events, fixtures, pages, parties, records  # noqa: F401
+    from siftwell.plans import conversations, documents, events, fixtures, flows, pages, parties, records  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
