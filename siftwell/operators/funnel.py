@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.ranks import numbered
+
 #: Reasons of a model gate, the first that applies.
 GATE_REASONS = ("gate:candidate_seeking", "gate:roundup", "gate:employer_mismatch", "gate:no_application_cta", "gate:not_hirer", "gate:rejected")
 
@@ -68,9 +70,9 @@ def limit_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], m
 
 
 def batch_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
-    """Add ``batch`` and ``id``: consecutive runs of ``size`` rows within each key."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumns({"batch": F.floor(n / size).cast("long"), "id": (n % size).cast("int")})
+    """Add ``batch`` and ``id``: consecutive runs of ``size`` rows within each key, also where a key has very many rows."""
+    n = F.col("_number")
+    return numbered(df, order, "_number", keys).withColumns({"batch": F.floor(n / size).cast("long"), "id": (n % size).cast("int")}).drop("_number")
 
 
 def top_counts(df: DataFrame, column: str, most: int) -> DataFrame:

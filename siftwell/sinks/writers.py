@@ -1,7 +1,7 @@
 """Result files: JSON, CSV, Markdown and text; and a distributed writer for large results.
 
 The formats are one file with a header that counts the rows, so they suit results of a
-size a person reads: rows stream through the driver one partition at a time.
+size a person reads: their rows are held by the driver.
 :func:`write_parts` writes results of any size from the executors.
 """
 
@@ -13,10 +13,11 @@ import os
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import escape_markdown, header_label, text_of
+from siftwell.operators.ranks import numbered, summed_before
 from siftwell.schemas import JOB_FIELDS, POST_FIELDS, RESULT_FIELDS, TXT_FIELDS
 
 FORMATS = ("json", "csv", "md", "txt")
@@ -36,12 +37,14 @@ def project(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 def group_index(df: DataFrame, group: str, seq: str) -> DataFrame:
     """Add ``group_name, group_first, group_size, out_index``: groups in first-seen order, one running number.
 
-    The running number needs a total order, so it is meant for results, not for corpora;
-    the window over a group is avoided by a partial aggregate and a join.
+    Sizes and first places come from a partial aggregate; the running number is made in
+    slices of the order, so no task holds all rows or a whole group.
     """
     named = df.withColumn("group_name", F.coalesce(F.nullif(text_of(group), F.lit("")), F.lit("(unknown)")))
     facts = named.groupBy("group_name").agg(F.min(seq).alias("group_first"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(facts, "group_name").withColumn("out_index", F.row_number().over(Window.orderBy("group_first", seq)))
+    facts = summed_before(facts, ["group_first"], "_before", weight=F.col("group_size"))
+    rows = numbered(named, [seq], "_number", ["group_name"]).join(facts, "group_name")
+    return rows.withColumn("out_index", F.col("_before") + F.col("_number") + 1).drop("_before", "_number")
 
 
 def markdown_row(fields: Sequence[str], index: Column) -> Column:
@@ -58,7 +61,7 @@ def text_block(fields: Sequence[str], index: Column, skip_blank: Sequence[str] =
 
 def result_blocks(df: DataFrame, order: str = "seq") -> DataFrame:
     """``out_index, block`` for terminal output; a blank source type is left out."""
-    return df.withColumn("out_index", F.row_number().over(Window.orderBy(order))).select("out_index", text_block(RESULT_FIELDS, F.col("out_index"), skip_blank=("source_type",)).alias("block"))
+    return numbered(df, [order], "_number").withColumn("out_index", F.col("_number") + 1).select("out_index", text_block(RESULT_FIELDS, F.col("out_index"), skip_blank=("source_type",)).alias("block"))
 
 
 def result_row(df: DataFrame) -> DataFrame:
