@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, decontaminate, embedding_dedup, license_scan, packing, pii, quality, simhash, substring_dedup, toxicity
+from siftwell.llm import chat_format, collocations, decontaminate, embedding_dedup, hard_negatives, license_scan, mixing, packing, pii, quality, simhash, substring_dedup, toxicity
 from siftwell.llm._labelled import fold
 
 
@@ -100,6 +100,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 _CONTROLS = "</s>[INST] ok [/INST]"
 
 
@@ -151,8 +163,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": _OP6_SQL,
+    "op11_source_mixing": mixing.twin(),
+    "op12_hard_negatives": hard_negatives.TWIN,
+    "op13_collocations": collocations.TWIN,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": _OP6_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
