@@ -6,7 +6,7 @@ would end a word.  Text that is null counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,15 +103,24 @@ def snippet(text: Column, most: int = 240) -> Column:
 _EDGE = " ·\\-–—"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` reckoned once a row, however often ``use`` reads it and lambdas repeat it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def without_doubling(raw: Column) -> Column:
     """Distinct lines on one line, edge marks stripped, and a phrase that is said twice said once."""
     lines = F.filter(F.transform(F.split(raw, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), collapsed), lambda s: s != "")
     line = F.regexp_replace(F.array_join(F.array_distinct(lines), " "), f"^[{_EDGE}]+|[{_EDGE}]+$", "")
-    words = F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
-    half = F.floor(F.size(words) / 2).cast("int")
-    first = F.slice(words, F.lit(1), F.greatest(half, F.lit(0)))
-    twice = (F.size(words) > 0) & (F.size(words) % 2 == 0) & (first == F.slice(words, half + 1, F.greatest(half, F.lit(0))))
-    return F.trim(F.when(twice, F.array_join(first, " ")).otherwise(line))
+
+    def once(words: Column) -> Column:
+        half = F.floor(F.size(words) / 2).cast("int")
+        first = F.slice(words, F.lit(1), F.greatest(half, F.lit(0)))
+        twice = (F.size(words) > 0) & (F.size(words) % 2 == 0) & (first == F.slice(words, half + 1, F.greatest(half, F.lit(0))))
+        return F.when(twice, F.array_join(first, " "))
+
+    words = lambda line: F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
+    return bound(line, lambda own: F.trim(F.coalesce(bound(words(own), once), own)))
 
 
 def clean_name(raw: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.urls import classify_links, clean_link, host, host_in, hrefs, link_categories, normalised_href, resolve_links
 from siftwell.plans.registry import query, table
-from siftwell.sources.html import attribute, says_no_results
+from siftwell.sources.html import attribute, job_cards, job_fields, post_cards, post_fields, says_no_results
+from siftwell.sources.tree import Rule, all_of, below, first_of_rule, nodes_of, text_content
 
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
 _ORGS = ("example.org",)
@@ -62,3 +63,69 @@ def redirect_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = pages.where("page_id % 4 = 0").select(F.element_at("urls", 1).alias("url"), F.concat(F.lit("https://jobs.lever.co/x/"), F.col("page_id").cast("string")).alias("final_url"))
     out = resolve_links(pages, "page_id", "urls", known)
     return out.select("page_id", F.coalesce(F.try_element_at("resolved", F.element_at("urls", 1)), F.element_at("urls", 1)).alias("final"))
+
+
+
+
+def _plain(sql: str) -> str:
+    """SQL that decodes the entities of the pages."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{entity}', '{char}')"
+    return sql
+
+
+_SHOWN = r"regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'gs')"
+
+
+@query(
+    rf"""SELECT page_id, len(regexp_extract_all({_SHOWN}, '<[a-zA-Z]')) + len(regexp_extract_all(html, '<(script|style)[ >]')) AS n_elements,
+    len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')) AS n_nav_links, {_plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
+    length({_plain("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', '', 'g')")}) AS article_chars FROM pages"""
+)
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    pages = table(spark, sf_dir, "pages").select("page_id", nodes_of(F.col("html")).alias("n"))
+    return pages.select(
+        "page_id",
+        F.size(F.filter(n, lambda x: ~x["tag"].startswith("#"))).cast("long").alias("n_elements"),
+        F.size(all_of(n, Rule(("a",), within=Rule(("nav",))))).cast("long").alias("n_nav_links"),
+        text_content(below(n, first_of_rule(n, Rule(("h1",))))).alias("heading"),
+        F.char_length(text_content(below(n, first_of_rule(n, Rule(("article",)))))).cast("long").alias("article_chars"),
+    )
+
+
+_CARD = (
+    '<main><ul><li role="listitem" componentkey="FLAGSHIP_SEARCH-', '"><div><a href="/in/user', '/?x=1"><span>Photo</span></a><button aria-label="Open control menu for post by User ', ' 2nd">..</button><span>Engineer at Acme, 1,200 followers</span><p><a href="/feed/update/urn%3Ali%3Aactivity%3A740000000000',
+    '/?r=1">', 'd</a> <svg aria-label="Visibility: Global"></svg></p></div><div data-testid="expandable-text-box">', '</div><a href="/jobs/view/', '/?x=2">Job</a><span>7 comments</span></li></ul></main>',
+)
+
+
+@query(
+    rf"""WITH cut AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art FROM pages),
+    lined AS (SELECT page_id, {_plain("regexp_replace(art, '<[^>]*>', '', 'g')")} AS flat, list_filter(list_transform(string_split({_plain("regexp_replace(regexp_replace(art, '<(br|/?(p|h1|div|ul|li|article|nav|footer))( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')")}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM cut),
+    texts AS (SELECT page_id, trim(array_to_string(list_filter(lines, lambda x, i: list_position(lines, x) = i), ' '), ' ·-–—') AS shown, trim(regexp_replace(flat, '\s+', ' ', 'g'), ' ·-–—') AS flat FROM lined)
+    SELECT page_id, 'User ' || page_id AS poster, 'Acme' AS company, 'Photo .. Engineer at Acme, 1,200 followers ' || (page_id % 6 + 1) || 'd' AS poster_headline,
+    CASE WHEN length(flat) > length(shown) THEN flat ELSE shown END AS post_text, (page_id % 6 + 1)::DOUBLE AS days_old, (page_id % 6 + 1) || 'd ago' AS post_date,
+    'https://www.linkedin.com/feed/update/urn:li:activity:740000000000' || lpad((page_id % 10000000)::VARCHAR, 7, '0') || '/' AS post_url, 'https://www.linkedin.com/jobs/view/' || page_id || '/' AS job_link,
+    1200 AS follower_count, 7 AS comments, 'company:poster-headline,post_url:exact' AS reasons FROM texts"""
+)
+def post_cards_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("page_id").cast("string")
+    article = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
+    parts = [number, number, number, F.lpad((F.col("page_id") % 10_000_000).cast("string"), 7, "0"), (F.col("page_id") % 6 + 1).cast("string"), article, number]
+    markup = F.concat(F.lit(_CARD[0]), *(c for part, text in zip(parts, _CARD[1:], strict=True) for c in (part, F.lit(text))))
+    cards = post_cards(table(spark, sf_dir, "pages").select("page_id", markup.alias("html")))
+    return post_fields(cards, F.lit("2024-01-31 00:00:00")).select(
+        "page_id", "poster", "company", "poster_headline", "post_text", "days_old", "post_date", "post_url", "job_link", "follower_count", F.col("engagement")["comments"].alias("comments"), F.array_join("reasons", ",").alias("reasons")
+    )
+
+
+@query(
+    r"""SELECT page_id, (i - 1)::INT AS card_index, hrefs[i] AS title, 'Org ' || page_id AS company, 'https://www.linkedin.com/jobs/view/' || page_id || i || '/' AS link
+    FROM (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS hrefs FROM pages), unnest(range(1, len(hrefs) + 1)) t(i)"""
+)
+def job_cards_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = lambda h, i: F.concat(F.lit('<li data-occludable-job-id="1"><a class="x job-card-list__title" href="/jobs/view/'), F.col("page_id"), i + 1, F.lit('/?t=1"><b>'), h, F.lit('</b></a><div class="artdeco-entity-lockup__subtitle">Org '), F.col("page_id"), F.lit("</div>"))
+    found = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<ul>"), F.array_join(F.transform(found, item), ""), F.lit("</ul>")).alias("html"))
+    return job_fields(job_cards(pages)).select("page_id", "card_index", "title", "company", "link")

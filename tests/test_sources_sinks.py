@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftwell import schemas
 from siftwell.operators.history import few_shots, labelled_examples, upsert
 from siftwell.sinks import writers
-from siftwell.sources import files, html
+from siftwell.sources import files
 from siftwell.streaming import landing
 
 AS_OF = "2024-01-31T00:00:00+00:00"
@@ -54,25 +54,6 @@ def test_uploads_become_text(spark, tmp_path):
     assert prompt.count("x") == 30_000 and prompt.endswith("Question: why?")
 
 
-CARD = '<div class="post"><a href="/in/asha/">A</a><button aria-label="Open control menu for post by Asha Rao 2nd">..</button><h2>SWE @ Acme</h2><a href="/feed/update/urn%3Ali%3Aactivity%3A7489706814855344128/?x=1"><time datetime="2024-01-30T00:00:00Z">1d</time></a><div class="body"><p>Company: Acme &amp; Co</p><p>We are hiring</p></div><a href="https://lnkd.in/abc">apply</a></div>'
-
-
-def test_post_cards(spark):
-    pages = spark.createDataFrame([(1, f"<html><div class='x'></div>{CARD}{CARD}</html>"), (2, "<p>No results found</p>")], "page_id int, html string")
-    got = html.post_fields(html.cards(pages, ["card", "post"])).orderBy("card_index").collect()
-    assert [(r["page_id"], r["poster"], r["stamp"]) for r in got] == [(1, "Asha Rao", "2024-01-30T00:00:00Z")] * 2
-    assert got[0]["post_url"].endswith("/urn:li:activity:7489706814855344128/") and got[0]["job_link"] == "https://lnkd.in/abc"
-    assert "We are hiring" in got[0]["post_text"]
-    assert [r["e"] for r in pages.orderBy("page_id").select(html.says_no_results(F.col("html")).alias("e")).collect()] == [False, True]
-
-
-def test_job_cards(spark):
-    card = '<li class="job-card"><a href="/jobs/view/5/?x">t</a><h3 class="title">SDE</h3><h4 class="company">Acme Acme</h4><span class="location">Pune</span></li>'
-    pages = spark.createDataFrame([(1, card)], "page_id int, html string")
-    r = html.job_fields(html.cards(pages, ["job-card"])).first()
-    assert (r["title"], r["company"], r["location"], r["link"]) == ("SDE", "Acme", "Pune", "https://www.linkedin.com/jobs/view/5/")
-
-
 ROWS = [(0, "Acme", "SDE", "u1", "a|b"), (1, "", "ML", "", "x\ny"), (2, "Acme", "QA", "u3", "")]
 
 
