@@ -116,21 +116,35 @@ def _is_valid(kind: Kind, value: Column) -> Column:
     return kind.valid(value) if kind.valid else F.lit(True)
 
 
+def _matched(found: Column, gaps: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(m)`` with ``m.found`` and ``m.gaps`` reckoned once a row: read inside a lambda, the patterns themselves would run again for every match."""
+    return F.transform(F.array(F.struct(found.alias("found"), gaps.alias("gaps"))), use)[0]
+
+
+def _verdict(kind: Kind, value: Column, before: Column, after: Column, least: float, window: int) -> tuple[Column, Column]:
+    """Whether a match counts, and its score by the words around it."""
+    near = F.concat(F.right(before, F.lit(window)), F.lit(" "), F.left(after, F.lit(window)))
+    score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.context), kind.boost).otherwise(0.0))
+    return _is_valid(kind, value) & (F.lit(kind.base) | (score >= least)), score
+
+
 def _spans_of(kind: Kind, found: Column, gaps: Column, least: float, window: int) -> Column:
     empty = F.expr(f"cast(array() as {SPAN})")
 
-    def step(acc: Column, i: Column) -> Column:
-        value, before, after = F.get(found, i), F.get(gaps, i), F.get(gaps, i + 1)
-        start = acc["pos"] + F.char_length(before)
-        end = start + F.char_length(value)
-        near = F.concat(F.right(before, F.lit(window)), F.lit(" "), F.left(after, F.lit(window)))
-        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.context), kind.boost).otherwise(0.0))
-        keep = _is_valid(kind, value) & (F.lit(kind.base) | (score >= least))
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        return F.struct(end.alias("pos"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(m: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            value, before, after = F.get(m["found"], i), F.get(m["gaps"], i), F.get(m["gaps"], i + 1)
+            start = acc["pos"] + F.char_length(before)
+            end = start + F.char_length(value)
+            keep, score = _verdict(kind, value, before, after, least, window)
+            span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
+            return F.struct(end.alias("pos"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), begin, step, lambda a: a["spans"])).otherwise(empty)
+        begin = F.struct(F.lit(0).cast("long").alias("pos"), empty.alias("spans"))
+        n = F.size(m["found"])
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), begin, step, lambda acc: acc["spans"])).otherwise(empty)
+
+    return _matched(found, gaps, spans)
 
 
 def find_pii(docs: DataFrame, *, text: str = "text", least: float = 0.5, window: int = 48) -> DataFrame:
@@ -139,40 +153,38 @@ def find_pii(docs: DataFrame, *, text: str = "text", least: float = 0.5, window:
     Base kinds are kept whenever they validate; the others only with a score of
     ``least``.  Offsets are code points, ends exclusive; kinds may overlap.  Null and
     empty texts have no spans; other columns pass through untouched (an own ``pii`` is
-    replaced; names of an underscore and a kind are reserved); every input row
-    gives one output row (an empty table an empty one, repeated rows repeated results).
+    replaced); every input row gives one output row (an empty table an empty one, repeated
+    rows repeated results).  Each pattern runs over a text once to list its matches and once to cut it.
     """
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    names = [f"_{k.name}" for k in KINDS]
-    step = docs
-    for k, n in zip(KINDS, names, strict=True):
-        found, gaps = _proposed(own, k)
-        step = step.withColumn(n, _spans_of(k, found, gaps, least, window))
-    return step.withColumn("pii", F.concat(*names)).drop(*names)
+    return docs.withColumn("pii", F.concat(*(_spans_of(k, *_proposed(own, k), least, window) for k in KINDS)))
 
 
 def mask_pii(docs: DataFrame, *, text: str = "text", least: float = 0.5, window: int = 48) -> DataFrame:
-    """Replace every confirmed span by ``[KIND]``, one kind after another; null stays null, rows and columns stay."""
+    """Replace every confirmed span by ``[KIND]``, one kind after another.
+
+    Null stays null, an empty text empty; rows, repeated ones too, and other columns stay; an empty table gives an empty one.
+    """
     own = F.col(text)
     for k in KINDS:
-        found, gaps = _proposed(own, k)
-        put = _masker(k, found, gaps, least, window)
-        filled = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(found) - 1), put), ""), F.element_at(gaps, -1))
-        docs = docs.withColumn(text, F.when(own.rlike(k.needs) & (F.size(found) > 0), filled).otherwise(own))
+        docs = docs.withColumn(text, F.when(own.rlike(k.needs), _matched(*_proposed(own, k), _masked(k, least, window))).otherwise(own))
     return docs
 
 
-def _masker(kind: Kind, found: Column, gaps: Column, least: float, window: int) -> Callable[[Column], Column]:
-    """The i-th gap and what follows it: the match, or its mask where it is confirmed."""
+def _masked(kind: Kind, least: float, window: int) -> Callable[[Column], Column]:
+    """The text put together again, with a mask for every match that is confirmed."""
+
+    def text(m: Column) -> Column:
+        def put(i: Column) -> Column:
+            value, before, after = F.get(m["found"], i), F.get(m["gaps"], i), F.get(m["gaps"], i + 1)
+            keep, _ = _verdict(kind, value, before, after, least, window)
+            return F.concat(before, F.when(keep, F.lit(f"[{kind.name.upper()}]")).otherwise(value))
 
-    def put(i: Column) -> Column:
-        value, before, after = F.get(found, i), F.get(gaps, i), F.get(gaps, i + 1)
-        near = F.concat(F.right(before, F.lit(window)), F.lit(" "), F.left(after, F.lit(window)))
-        score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.boost).otherwise(0.0)
-        keep = _is_valid(kind, value) & (F.lit(kind.base) | (score >= least))
-        return F.concat(before, F.when(keep, F.lit(f"[{kind.name.upper()}]")).otherwise(value))
+        n = F.size(m["found"])
+        filled = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), put), "")).otherwise(F.lit(""))
+        return F.concat(filled, F.element_at(m["gaps"], -1))
 
-    return put
+    return text
 
 
 def span_text(spans: Column) -> Column:
