@@ -10,11 +10,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -168,6 +168,20 @@ def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, i
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add, for each name, the sum of its column over the rows before; ``order`` has to tell rows apart.
+
+    Rows are dealt by ranges of the order, summed in each, and the sums of the ranges before are added.
+    """
+    placed = stash(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    ranges = placed.groupBy("_p").agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    by_range = before(Window.partitionBy(F.lit(0)).orderBy("_p"))
+    starts = ranges.select("_p", *(F.coalesce(F.sum(f"_sum_{n}").over(by_range), F.lit(0)).alias(f"_start_{n}") for n in sums))
+    own = before(Window.partitionBy("_p").orderBy(*order))
+    return placed.withColumns({f"_own_{n}": F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()}).join(starts, "_p").select(*df.columns, *((F.col(f"_own_{n}") + F.col(f"_start_{n}")).alias(n) for n in sums))
+
+
 def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, *, key: str, ident: str, most: int, payload: DataFrame | None = None) -> DataFrame:
     """Compare the rows that share ``key`` without ever holding an unbounded bucket.
 

@@ -14,14 +14,12 @@ Both are exact: scores are integers, ties go to the smaller id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import in_small_batches, stash
+from siftwell.llm._shared import in_order, join_hot, stash
 
 MOST = 5
 #: Rows of a bucket, buckets of a span, queries of a block.
@@ -29,7 +27,6 @@ BUCKET, SPAN, BLOCK = 1_024, 8, 512
 #: Rows whose squared norm is larger take no part: their scores need not fit in 64 bits.
 LARGEST = float(2**62)
 _LOW, _HIGH = -(2**63), 2**63 - 1
-_ROWS = "vec_id long, label int, v array<double>, norm double"
 
 
 def prepared(vectors: DataFrame, *, every: int = 7, labels: int = 10, scale: int = 256) -> DataFrame:
@@ -44,25 +41,21 @@ def prepared(vectors: DataFrame, *, every: int = 7, labels: int = 10, scale: int
     return rows.where(F.col("norm") < float(np.sqrt(LARGEST))).groupBy("vec_id", "label", "v").agg(F.first("norm").alias("norm"))
 
 
+def _grouped(df: DataFrame, keys: list[str], order: list[Column], size: int, name: str, ident: str) -> DataFrame:
+    """``df`` with ``name``: runs of ``size`` rows in order within ``keys``, or in all, whatever the partitions; a run is named by a number."""
+    numbered = in_order(df, [*map(F.col, keys), *order], {"_number": F.lit(1).cast("long")})
+    number = F.col("_number")
+    if not keys:
+        return stash(numbered.withColumn(name, F.floor(number / size)).drop("_number"))
+    numbered = stash(numbered)
+    firsts = stash(numbered.groupBy(*keys).agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_rows")))
+    placed = join_hot(numbered, firsts, keys, "_rows", ident)
+    return stash(placed.withColumn(name, F.col("_first") + F.floor((number - F.col("_first")) / size) * size).drop("_number", "_first", "_rows"))
+
+
 def _bucketed(rows: DataFrame, keys: list[str], span_rows: int) -> DataFrame:
-    """``rows`` with ``span``: sorted by norm within ``keys`` (all rows, where there are none) and cut; a span never holds two keys or more than ``span_rows`` rows."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, run = None, 0, 0
-        for batch in batches:
-            spans = np.empty(len(batch), dtype=np.int64)
-            own = list(zip(*(batch[k] for k in keys), strict=True)) if keys else [()] * len(batch)
-            for n, key in enumerate(own):
-                if key != held or size == span_rows:
-                    run, held, size = run + 1, key, 0
-                size += 1
-                spans[n] = run
-            batch["span"] = (batch["_p"].to_numpy(dtype=np.int64) << 32) + spans
-            yield batch.drop(columns="_p")
-
-    order = [*map(F.col, keys), F.desc("norm"), F.col("vec_id")]
-    placed = in_small_batches(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    return stash(placed.mapInPandas(cut, f"{_ROWS}, span long"))
+    """``rows`` with ``span``: sorted by norm and cut; a span never holds two keys or more than ``span_rows`` rows."""
+    return _grouped(rows, keys, [F.desc("norm"), F.col("vec_id"), F.xxhash64("v")], span_rows, "span", "vec_id")
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -154,6 +147,7 @@ def _searched(queries: DataFrame, rows: DataFrame, pairs: DataFrame, *, same: bo
         return search_span(a, b, same=same, most=most, bucket=bucket)[0]
 
     named = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731 - both sides hold columns of ``pairs``
+    pairs = pairs.select(F.col("block").cast("long").alias("block"), F.col("span").cast("long").alias("span"))  # equal types: both sides are dealt by them
     left, right = named(queries.join(named(pairs), "block")), named(rows.join(named(pairs), "span"))
     return left.groupBy("block", "span").cogroup(right.groupBy("block", "span")).applyInPandas(run, "query long, found long, score long")
 
@@ -171,17 +165,22 @@ def _nearest(queries: DataFrame, rows: DataFrame, keys: list[str], *, same: bool
     reaches the limits that the first has left.
     """
     spans = stash(rows.groupBy("span", *keys).agg(F.max("norm").alias("_longest")))
-    leading = spans.groupBy(*keys).agg(F.min_by("span", F.struct(-F.col("_longest"), F.col("span"))).alias("span"))
+    # names of spans grow as their norms fall
+    leading = spans.groupBy(*keys).agg(F.min("span").alias("span"))
     dealt = _blocks(queries, keys, block)
-    blocks = dealt.groupBy("block", *keys).agg(F.max("norm").alias("_norm"), F.min("low").alias("_low"))
-    ahead = blocks.join(leading, keys) if keys else blocks.withColumn("_one", F.lit(1)).join(leading.withColumn("_one", F.lit(1)), "_one")
-    early = stash(_searched(dealt, rows, ahead.select("block", "span"), same=same, most=most, bucket=bucket))
+    ahead = dealt.select("block", *keys).distinct()
+    ahead = ahead.join(leading, keys) if keys else ahead.withColumn("span", F.lit(0).cast("long"))
+    early = stash(_searched(dealt, rows, stash(ahead.select("block", "span")), same=same, most=most, bucket=bucket))
     kth = _first(early, most).where(F.col("rank") == most).select("query", F.col("score").alias("_kth"))
     limited = stash(dealt.join(kth, "query", "left").withColumn("low", F.greatest("low", F.coalesce("_kth", F.lit(_LOW)))).drop("_kth"))
     blocks = limited.groupBy("block", *keys).agg(F.max("norm").alias("_norm"), F.min("low").alias("_low"))
-    # blocks meet spans, not rows: one row here stands for thousands of scores
-    later = spans.join(leading.select(F.col("span")), "span", "left_anti")
-    pairs = (blocks.join(later, keys) if keys else blocks.withColumn("_one", F.lit(1)).join(later.withColumn("_one", F.lit(1)), "_one")).where(F.col("_norm") * F.col("_longest") * (1 + 1e-9) + 1 >= F.col("_low"))
+    # blocks meet spans, not rows: a row here stands for millions of scores
+    if keys:
+        pairs = blocks.join(spans.join(leading.select("span"), "span", "left_anti"), keys)
+    else:
+        last = blocks.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]
+        pairs = spans.where("span > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")) if last >= 0 else F.array().cast("array<bigint>"))).join(blocks, "block")
+    pairs = pairs.where(F.col("_norm") * F.col("_longest") * (1 + 1e-9) + 1 >= F.col("_low"))
     late = _searched(limited, rows, stash(pairs.select("block", "span")), same=same, most=most, bucket=bucket)
     return _first(early.unionByName(late), most)
 
@@ -189,23 +188,7 @@ def _nearest(queries: DataFrame, rows: DataFrame, keys: list[str], *, same: bool
 def _blocks(queries: DataFrame, keys: list[str], block: int) -> DataFrame:
     """``queries`` with ``block``: those that need rows of like norms go together, so that a block's bound is near that of each."""
     need = F.coalesce(F.col("low") / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0))
-    order = [*map(F.col, keys), F.col("_need"), F.col("own"), F.col("query")]
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, run = None, 0, 0
-        for batch in batches:
-            blocks = np.empty(len(batch), dtype=np.int64)
-            own = list(zip(*(batch[k] for k in keys), strict=True)) if keys else [()] * len(batch)
-            for n, key in enumerate(own):
-                if key != held or size == block:
-                    run, held, size = run + 1, key, 0
-                size += 1
-                blocks[n] = run
-            batch["block"] = (batch["_p"].to_numpy(dtype=np.int64) << 32) + blocks
-            yield batch.drop(columns=["_p", "_need"])
-
-    placed = queries.withColumn("_need", need).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    return stash(placed.mapInPandas(cut, "query long, own long, label int, v array<double>, norm double, low long, high long, block long"))
+    return _grouped(queries.withColumn("_need", need), keys, [F.col("_need"), F.col("own"), F.col("query")], block, "block", "query").drop("_need")
 
 
 def _query(own: Column, label: Column, low: Column, high: Column) -> list[Column]:

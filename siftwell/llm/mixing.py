@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import join_hot, stash
+from siftwell.llm._shared import in_order, join_hot, stash
 
 WEIGHTS = (3, 1, 2)
 SHARE, CEILING = 1.5, 2
@@ -39,20 +39,6 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
-    """Add, for each name, the sum of its column over the rows before; ``order`` has to tell rows apart.
-
-    Rows are dealt by ranges of the order, summed in each, and the sums of the ranges before are added.
-    """
-    placed = stash(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    ranges = placed.groupBy("_p").agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    by_range = before(Window.partitionBy(F.lit(0)).orderBy("_p"))
-    starts = ranges.select("_p", *(F.coalesce(F.sum(f"_sum_{n}").over(by_range), F.lit(0)).alias(f"_start_{n}") for n in sums))
-    own = before(Window.partitionBy("_p").orderBy(*order))
-    return placed.withColumns({f"_own_{n}": F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()}).join(starts, "_p").select(*df.columns, *((F.col(f"_own_{n}") + F.col(f"_start_{n}")).alias(n) for n in sums))
-
-
 def _targets(sources: DataFrame, weights: Sequence[int], share: float, ceiling: int) -> DataFrame:
     """``source_no``, ``target`` of ``sources(_source, _none, source_size)``; code point order, null last."""
     ranked = in_order(sources, [F.col("_none"), F.col("_source")], {"source_no": F.lit(1).cast("long")})

@@ -32,6 +32,15 @@ def _corpus(n=700, dim=6, hot=None):
     return [(i, [float(v) for v in x[i]], int(hot if hot is not None and i % 3 else i * 13 % 10)) for i in range(n)]
 
 
+def test_many_blocks_and_spans_over_many_partitions(spark):
+    rows = _corpus(1_500, hot=2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert _mined(spark, rows, bucket=20, span=2, block=3) == _sql(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("hot", [None, 4])
 def test_equals_its_sql(spark, hot):
     rows = _corpus(hot=hot)
