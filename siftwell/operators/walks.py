@@ -6,6 +6,9 @@ kept rows, and :mod:`siftwell.operators.funnel` counts the rest.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,33 +28,71 @@ def haystack(*columns: str) -> Column:
     return F.concat_ws(" ", *(F.nullif(text_of(c), F.lit("")) for c in columns or ("post_text", "company", "poster", "poster_headline")))
 
 
-def _runs(text: Column, sizes: list[int]) -> Column:
-    """Distinct runs of words of the given sizes."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
+#: Bytes of folded names, and names, that an automaton is built from; more are joined by their first words.
+AUTOMATON_BYTES, AUTOMATON_NAMES = 16 << 20, 200_000
+
+
+def _wide(text: Column) -> Column:
+    """Folded by Unicode words, for names without ASCII letters."""
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\W+", " "))
+
+
+def _named_in(names: list[tuple[bool, str, str]]) -> Callable[[Column, Column], Column]:
+    """``array<string>`` of the names whose words stand in a text (its ASCII and its Unicode folding): one pass of an Aho-Corasick automaton."""
+    held: list[dict[str, list[str]]] = [{}, {}]
+    for wide, core, name in names:
+        held[wide].setdefault(f" {core} ", []).append(name)
+
+    def automaton(cores: dict[str, list[str]]):
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for core, own in cores.items():
+            made.add_word(core, own)
+        if cores:
+            made.make_automaton()
+        return made if cores else None
+
+    @F.pandas_udf("array<string>")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        made = [automaton(cores) for cores in held]
+        for batch in batches:
+            rows = []
+            for texts in zip(*batch, strict=True):
+                rows.append(sorted({n for a, t in zip(made, texts, strict=True) if a is not None and t for _, own in a.iter(f" {t} ") for n in own}))
+            yield pd.Series(rows, dtype=object)
+
+    return find
 
-    def of(n: int) -> Column:
-        last = F.size(words) - n + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
 
-    return F.array_distinct(F.concat(*(of(n) for n in sizes)))
+def _by_first_word(texts: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:
+    """The same for any number of names: every place of a text meets the names that begin with its word, and the words behind it are compared."""
+    longest = names.agg(F.coalesce(F.max(F.size(F.split("_core", " "))), F.lit(1))).first()[0]
+    places = texts.select(key, F.explode(F.array(F.struct(F.lit(False).alias("w"), F.split("_ascii", " ").alias("t")), F.struct(F.lit(True).alias("w"), F.split("_wide", " ").alias("t")))).alias("b"))
+    places = places.select(key, F.col("b.w").alias("_wide"), F.posexplode("b.t").alias("_at", "_word"), F.col("b.t").alias("_t")).where("_word <> ''")
+    places = places.select(key, "_wide", "_word", F.concat(F.array_join(F.slice("_t", F.col("_at") + 1, longest), " "), F.lit(" ")).alias("_run")).distinct()
+    first = names.withColumn("_word", F.substring_index("_core", " ", 1))
+    return places.join(first, ["_wide", "_word"]).where(F.startswith("_run", F.concat("_core", F.lit(" ")))).select(key, name)
 
 
-def mention_join(posts: DataFrame, key: str, text: Column, companies: DataFrame, name: str = "target") -> DataFrame:
-    """``key, target`` for every post and company that it mentions.
+def mention_join(posts: DataFrame, key: str, text: Column, companies: DataFrame, name: str = "target", *, most_bytes: int = AUTOMATON_BYTES, most_names: int = AUTOMATON_NAMES) -> DataFrame:
+    """``key, target`` for every post and company that it mentions, once each.
 
     A name is mentioned exactly where the words of its folded core stand in the folded
-    text, so the theta join becomes a hash join on runs of words; only run lengths that
-    some name has are made.  Names without ASCII letters are folded by Unicode words.
+    text.  The names' size is measured first: up to the bounds an automaton of all names
+    goes to the executors and reads each text once, without a shuffle of texts; beyond,
+    names are dealt by their first word.  Null texts and names mention nothing; names
+    without ASCII letters are folded by Unicode words; repeated rows count once.
     """
     core = fold_company(F.col(name))
-    wide = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
-    names = companies.select(name).distinct().withColumns({"_wide": core == "", "_core": F.when(core != "", core).otherwise(wide(F.col(name)))}).where("_core <> ''")
-    sizes = sorted(r[0] for r in names.select(F.size(F.split("_core", " "))).distinct().collect())
-    if not sizes:
-        return posts.limit(0).select(key, F.lit("").alias(name))
-    both = F.array(F.struct(F.lit(False).alias("w"), folded(text).alias("t")), F.struct(F.lit(True).alias("w"), wide(text).alias("t")))
-    runs = posts.select(key, F.explode(both).alias("b")).select(key, F.col("b.w").alias("_wide"), F.explode(_runs(F.col("b.t"), sizes)).alias("_core"))
-    return runs.join(names, ["_wide", "_core"]).select(key, name).distinct()
+    names = companies.where(F.col(name).isNotNull()).select(name).distinct().withColumns({"_wide": core == "", "_core": F.when(core != "", core).otherwise(_wide(F.col(name)))}).where("_core <> ''")
+    count, size = names.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_core") + F.octet_length(name)), F.lit(0))).first()
+    texts = posts.select(key, folded(F.coalesce(text, F.lit(""))).alias("_ascii"), _wide(F.coalesce(text, F.lit(""))).alias("_wide"))
+    if count > most_names or size > most_bytes:
+        return _by_first_word(texts, key, names, name).distinct()
+    found = _named_in([(r["_wide"], r["_core"], r[name]) for r in names.collect()])
+    wide = F.col("_wide") if count and names.where("_wide").limit(1).count() else F.lit("")
+    return texts.select(key, F.explode(found(F.col("_ascii"), wide)).alias(name)).distinct()
 
 
 def label_companies(posts: DataFrame, classes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from siftwell.functions.text import engagement, escape_markdown, follower_count
 from siftwell.functions.urls import activity_permalink, canonical_permalink, content_search_url, is_exact_post, is_feed_page, job_search_url, permalink_cache_key, urls_in_text
 from siftwell.operators.provenance import heuristic_reject, roundup_signals
 from siftwell.operators.verdicts import drop_reason, parse_strict, parse_tolerant, semantic_keep
+from siftwell.operators.scans import cut_scan, scan_listings
 from siftwell.operators.walks import label_companies, mention_join
 from siftwell.plans.registry import query, table
 
@@ -207,3 +208,37 @@ def tolerant_replies_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = F.concat(F.lit('{"results":[{"id":"'), (event % 5).cast("string"), F.lit('",'), keep, F.lit(',"is_company_role":'), (event % 5 == 0).cast("string"), F.lit(',"source_type":"'), kind, F.lit('","reason":"'), F.col("event_type"), F.lit(' "}]}'))
     rows = table(spark, sf_dir, "events").select("event_id", reply.alias("reply"), F.lit(4).alias("n"))
     return parse_tolerant(rows, "reply", "n").select("event_id", "id", "keep", "reason", "source_type")
+
+
+_ROUNDS = "SELECT user_id, date_diff('day', ts::DATE, DATE '2024-01-31')::INT - 1 AS round, count(*) AS cards, count(*) FILTER (event_type = 'error') AS walls, max(epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 86400e6 AS oldest FROM events WHERE ts < TIMESTAMP '2024-01-31' GROUP BY ALL"
+
+
+@query(
+    f"""WITH r AS ({_ROUNDS}), run AS (SELECT *, cards = lag(cards) OVER w AND cards = lag(cards, 2) OVER w AND round - 2 = lag(round, 2) OVER w AS flat FROM r WINDOW w AS (PARTITION BY user_id ORDER BY round)),
+    j AS (SELECT *, CASE WHEN walls > 1 THEN 'login' WHEN oldest > 25 THEN 'age' WHEN flat THEN 'stagnant' WHEN round >= 27 THEN 'rounds' END AS reason FROM run),
+    s AS (SELECT user_id, min(round) AS stop, arg_min(reason, round) AS reason FROM j WHERE reason IS NOT NULL GROUP BY user_id)
+    SELECT user_id, round, cards, coalesce(s.reason, 'end') AS stopped_by FROM j LEFT JOIN s USING (user_id) WHERE s.stop IS NULL OR round < stop OR (round = stop AND s.reason <> 'login')"""
+)
+def scan_cuts_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a user as rounds of a scan, newest first: cut at a wall, at the age window, where it stagnates, or after 28 rounds."""
+    end = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    events = table(spark, sf_dir, "events").where(F.col("ts") < end)
+    rounds = events.groupBy("user_id", (F.datediff(F.lit("2024-01-31"), F.to_date("ts")) - 1).alias("round")).agg(F.count(F.lit(1)).alias("cards"), F.count_if(F.col("event_type") == "error").alias("walls"), F.max((F.unix_micros(end) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(86_400e6)).alias("oldest"))
+    cut = cut_scan(rounds, ["user_id"], "round", before=[("login", F.col("walls") > 1)], after=[("age", F.col("oldest") > 25)], loaded="cards", most_rounds=28)
+    return cut.select("user_id", "round", "cards", "stopped_by")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey % 50 AS scan, (o_orderkey // 25 % 40)::INT AS round, o_orderkey AS pos, o_orderstatus AS title, o_orderpriority AS company, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1),
+    e AS (SELECT scan, min(round) AS stop FROM (SELECT scan, round FROM c GROUP BY ALL HAVING count(*) FILTER (title = 'P') > 0) GROUP BY scan),
+    k AS (SELECT c.* FROM c LEFT JOIN e USING (scan) WHERE stop IS NULL OR round < stop),
+    f AS (SELECT scan, round, pos, l_partkey, row_number() OVER (PARTITION BY scan, l_partkey ORDER BY round, pos) AS n FROM k)
+    SELECT scan, round, pos, 'https://www.linkedin.com/jobs/view/' || l_partkey || '/' AS link FROM f WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY scan ORDER BY round, pos) <= 20"""
+)
+def scan_listings_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as listings on pages: a page with a pending order is a wall; twenty different parts a scan."""
+    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    cards = table(spark, sf_dir, "orders").join(first, "o_orderkey").select((F.col("o_custkey") % 50).alias("scan"), (F.floor(F.col("o_orderkey") / 25) % 40).cast("int").alias("round"), F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("company"), F.lit("").alias("location"), F.concat(F.lit("https://www.linkedin.com/jobs/view/"), "l_partkey", F.lit("/")).alias("link"))
+    rounds = cards.groupBy("scan", "round").agg(F.count_if(F.col("title") == "P").alias("walls"))
+    cut = cut_scan(rounds, ["scan"], "round", before=[("login", F.col("walls") > 0)])
+    return scan_listings(cards, cut, ["scan"], "round", "pos", most=20).select("scan", "round", "pos", "link")
