@@ -19,7 +19,7 @@ from siftwell.operators.provenance import audit_tokens, engagement_signal, first
 from siftwell.operators.search_terms import is_prose
 from siftwell.operators.verdicts import drop_reason, parse_strict, parse_tolerant, salvage, semantic_keep, verdict_source_type
 from siftwell.operators.walks import company_walk, fill_permalinks, gate_batches, haystack, history_rows, is_startup, keyword_posts, label_companies, mention_join, relevance_gate, semantic_gate
-from siftwell.plans.registry import query
+from siftwell.plans.registry import case
 from siftwell.schemas import HISTORY, POST, conform
 from siftwell.sinks.writers import result_row, text_block
 
@@ -52,7 +52,7 @@ _DATES = [
 ]
 
 
-@query(expected("text VARCHAR, days DOUBLE", [(t, None if d is None else d) for t, d in _DATES]))
+@case(expected("text VARCHAR, days DOUBLE", [(t, None if d is None else d) for t, d in _DATES]))
 def fixture_relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "text string", [(t,) for t, _ in _DATES]).select("text", relative_age(F.col("text")).alias("days"))
 
@@ -60,7 +60,7 @@ def fixture_relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AGES = [(0.01, "14m ago"), (0.5, "12h ago"), (3.9, "3d ago"), (8.0, "1w ago"), (30.0, "0mo ago"), (61.0, "2mo ago"), (None, "unknown")]
 
 
-@query(expected("days DOUBLE, age VARCHAR", _AGES))
+@case(expected("days DOUBLE, age VARCHAR", _AGES))
 def fixture_humanised_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "days double", [(d,) for d, _ in _AGES]).select("days", humanised(F.col("days")).alias("age"))
 
@@ -68,7 +68,7 @@ def fixture_humanised_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STAMPS = [("2024-01-30T00:00:00Z", 1.0), ("2024-01-30T12:00:00", 0.5), ("2024-02-01T00:00:00+00:00", 0.0), ("soon", None), ("", None)]
 
 
-@query(expected("stamp VARCHAR, days DOUBLE", _STAMPS))
+@case(expected("stamp VARCHAR, days DOUBLE", _STAMPS))
 def fixture_iso_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "stamp string", [(s,) for s, _ in _STAMPS]).select("stamp", iso_age_days(F.col("stamp"), F.to_timestamp(F.lit("2024-01-31 00:00:00"))).alias("days"))
 
@@ -80,7 +80,7 @@ _URLS = [
 ]
 
 
-@query(expected("url VARCHAR, company VARCHAR, kind VARCHAR", _URLS))
+@case(expected("url VARCHAR, company VARCHAR, kind VARCHAR", _URLS))
 def fixture_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "url string, company string", [r[:2] for r in _URLS]).select("url", "company", link_kind(F.col("url"), F.col("company")).alias("kind"))
 
@@ -93,7 +93,7 @@ _SETS = [
 ]
 
 
-@query(expected("id BIGINT, kind VARCHAR, n INTEGER, reasons VARCHAR", [(r[0], r[2], r[3], r[4]) for r in _SETS]))
+@case(expected("id BIGINT, kind VARCHAR, n INTEGER, reasons VARCHAR", [(r[0], r[2], r[3], r[4]) for r in _SETS]))
 def fixture_link_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _frame(spark, "id long, urls array<string>", [r[:2] for r in _SETS]).withColumn("v", classify_links(F.col("urls"), F.lit("Acme")))
     return v.select("id", F.col("v.kind").alias("kind"), F.size("v.urls").alias("n"), F.array_join("v.reasons", "; ").alias("reasons"))
@@ -102,7 +102,7 @@ def fixture_link_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IN_TEXT = [("Apply: https://a.example/x). More at www.b.example, or lnkd.in/abc", "https://a.example/x https://www.b.example lnkd.in/abc"), ("none here", ""), ("https://a.example/ https://A.example", "https://a.example/")]
 
 
-@query(expected("text VARCHAR, urls VARCHAR", _IN_TEXT))
+@case(expected("text VARCHAR, urls VARCHAR", _IN_TEXT))
 def fixture_urls_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "text string", [(t,) for t, _ in _IN_TEXT]).select("text", F.array_join(urls_in_text(F.col("text")), " ").alias("urls"))
 
@@ -110,7 +110,7 @@ def fixture_urls_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLLOWERS = [("31k+ LinkedIn", 31000, "31k"), ("1,234 followers", 1234, "1.2k"), ("2.5M followers", 2500000, "2.5m"), ("12 linkedin followers", 12, "12"), ("no count", None, None)]
 
 
-@query(expected("text VARCHAR, followers BIGINT, short VARCHAR", _FOLLOWERS))
+@case(expected("text VARCHAR, followers BIGINT, short VARCHAR", _FOLLOWERS))
 def fixture_follower_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = follower_count(F.col("text"))
     return _frame(spark, "text string", [(t,) for t, *_ in _FOLLOWERS]).select("text", n.alias("followers"), format_followers(n).alias("short"))
@@ -128,7 +128,7 @@ _PERMALINKS = [
 ]
 
 
-@query(expected("raw VARCHAR, permalink VARCHAR, exact BOOLEAN", _PERMALINKS))
+@case(expected("raw VARCHAR, permalink VARCHAR, exact BOOLEAN", _PERMALINKS))
 def fixture_permalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
     return _frame(spark, "raw string", [(r[0],) for r in _PERMALINKS]).select("raw", canonical_permalink(raw).alias("permalink"), is_exact_post(raw).alias("exact"))
@@ -142,12 +142,12 @@ _JOBS = [
 ]
 
 
-@query(expected("link VARCHAR, id VARCHAR", [r[1:] for r in _JOBS]))
+@case(expected("link VARCHAR, id VARCHAR", [r[1:] for r in _JOBS]))
 def fixture_job_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "links array<string>", [(r[0],) for r in _JOBS]).select(job_link(F.col("links")).alias("link")).select("link", job_id(F.col("link")).alias("id"))
 
 
-@query(expected("raw VARCHAR, target VARCHAR", [("https://x.example/a", "https://x.example/a"), ("/safety/go/?url=https%3A%2F%2Fy.example%2F", "https://y.example/")]))
+@case(expected("raw VARCHAR, target VARCHAR", [("https://x.example/a", "https://x.example/a"), ("/safety/go/?url=https%3A%2F%2Fy.example%2F", "https://y.example/")]))
 def fixture_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "raw string", [("https://x.example/a",), ("/safety/go/?url=https%3A%2F%2Fy.example%2F",)]).select("raw", unwrapped(F.col("raw")).alias("target"))
 
@@ -158,7 +158,7 @@ _NAMES = [
 ]
 
 
-@query(expected("raw VARCHAR, line VARCHAR, name VARCHAR", _NAMES))
+@case(expected("raw VARCHAR, line VARCHAR, name VARCHAR", _NAMES))
 def fixture_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
     return _frame(spark, "raw string", [(r[0],) for r in _NAMES]).select("raw", without_doubling(raw).alias("line"), clean_name(raw).alias("name"))
@@ -167,7 +167,7 @@ def fixture_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABELS = [("…see more", True, False), ("See  More", True, False), ("more jobs", False, False), ("and so on...", False, True), ("cut off… more", False, True)]
 
 
-@query(expected("text VARCHAR, label BOOLEAN, truncated BOOLEAN", _LABELS))
+@case(expected("text VARCHAR, label BOOLEAN, truncated BOOLEAN", _LABELS))
 def fixture_more_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "text string", [(r[0],) for r in _LABELS]).select("text", is_more_label(F.col("text")).alias("label"), is_truncated(F.col("text")).alias("truncated"))
 
@@ -175,7 +175,7 @@ def fixture_more_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENGAGED = [("12 reactions 3 comments 1,200 likes", 1200, 3, 0, ""), ("0 likes 0 comments", 0, 0, 0, "zero_engagement_multiple_shorteners"), ("quiet", None, None, None, "")]
 
 
-@query(expected("text VARCHAR, likes BIGINT, comments BIGINT, reposts BIGINT, signal VARCHAR", _ENGAGED))
+@case(expected("text VARCHAR, likes BIGINT, comments BIGINT, reposts BIGINT, signal VARCHAR", _ENGAGED))
 def fixture_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _frame(spark, "text string", [(r[0],) for r in _ENGAGED]).withColumn("e", engagement(F.col("text")))
     links = F.array(F.lit("https://lnkd.in/a"), F.lit("https://lnkd.in/b"))
@@ -185,7 +185,7 @@ def fixture_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EMPLOYERS = [("SWE @ Razorpay", "Razorpay", True), ("Student | BITS '27", "", False), ("Engineer at Acme Labs | ML", "Acme Labs", False), ("Hiring manager at razorpay", "", False), ("", "", False)]
 
 
-@query(expected("headline VARCHAR, employer VARCHAR, affiliated BOOLEAN", _EMPLOYERS))
+@case(expected("headline VARCHAR, employer VARCHAR, affiliated BOOLEAN", _EMPLOYERS))
 def fixture_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("headline")
     return _frame(spark, "headline string", [(r[0],) for r in _EMPLOYERS]).select("headline", employer(h).alias("employer"), affiliated(h, F.lit("Razorpay India")).alias("affiliated"))
@@ -199,7 +199,7 @@ _MATCHES = [
 ]
 
 
-@query(expected("post_text VARCHAR, matched BOOLEAN, why VARCHAR", _MATCHES))
+@case(expected("post_text VARCHAR, matched BOOLEAN, why VARCHAR", _MATCHES))
 def fixture_term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _frame(spark, "post_text string", [(r[0],) for r in _MATCHES])
     return match_terms(rows, "post_text", Vocabulary()).select("post_text", "matched", F.array_join("reasons", "; ").alias("why"))
@@ -214,7 +214,7 @@ _STRONG = [
 ]
 
 
-@query(expected("post_text VARCHAR, matched BOOLEAN, why VARCHAR", [(r[0], r[2], r[3]) for r in _STRONG]))
+@case(expected("post_text VARCHAR, matched BOOLEAN, why VARCHAR", [(r[0], r[2], r[3]) for r in _STRONG]))
 def fixture_strong_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _frame(spark, "post_text string, company string", [r[:2] for r in _STRONG])
     return strong_match(rows, F.col("company"), F.col("post_text")).select("post_text", "matched", F.array_join("reasons", "; ").alias("why"))
@@ -227,7 +227,7 @@ _NET = [
 ]
 
 
-@query(expected("post_text VARCHAR, matched BOOLEAN, why VARCHAR", [(r[0], r[2], r[3]) for r in _NET]))
+@case(expected("post_text VARCHAR, matched BOOLEAN, why VARCHAR", [(r[0], r[2], r[3]) for r in _NET]))
 def fixture_candidate_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _frame(spark, "post_text string, company string", [r[:2] for r in _NET])
     return candidate_net(rows, F.col("company"), F.col("post_text")).select("post_text", "matched", F.array_join("reasons", "; ").alias("why"))
@@ -240,7 +240,7 @@ _FUNDED = [
 ]
 
 
-@query(expected("text VARCHAR, phrases VARCHAR", _FUNDED))
+@case(expected("text VARCHAR, phrases VARCHAR", _FUNDED))
 def fixture_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "text string", [(r[0],) for r in _FUNDED]).select("text", F.array_join(funding_mentions(F.col("text")), "|").alias("phrases"))
 
@@ -256,13 +256,13 @@ _SPAM = [
 ]
 
 
-@query(expected("text VARCHAR, signals VARCHAR, reject VARCHAR", [(r[0], r[4], r[5]) for r in _SPAM]))
+@case(expected("text VARCHAR, signals VARCHAR, reject VARCHAR", [(r[0], r[4], r[5]) for r in _SPAM]))
 def fixture_spam_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = [F.col(c) for c in ("text", "poster", "company", "kind")]
     return _frame(spark, "text string, poster string, company string, kind string", [r[:4] for r in _SPAM]).select("text", F.array_join(spam_signals(*cols), ",").alias("signals"), heuristic_reject(*cols).alias("reject"))
 
 
-@query(expected("text VARCHAR, signals VARCHAR", [("Company: Acme | x\nCompany: Zeta", "multi-company-openings"), ("Job roundup", "roundup-language"), ("plain", "")]))
+@case(expected("text VARCHAR, signals VARCHAR", [("Company: Acme | x\nCompany: Zeta", "multi-company-openings"), ("Job roundup", "roundup-language"), ("plain", "")]))
 def fixture_roundups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("Company: Acme | x\nCompany: Zeta",), ("Job roundup",), ("plain",)]
     return _frame(spark, "text string", rows).select("text", F.array_join(roundup_signals(F.col("text")), ",").alias("signals"))
@@ -282,7 +282,7 @@ _FIRST = [
 ]
 
 
-@query(expected("id BIGINT, source_type VARCHAR, keep BOOLEAN, why VARCHAR", [(r[0], *r[5:]) for r in _FIRST]))
+@case(expected("id BIGINT, source_type VARCHAR, keep BOOLEAN, why VARCHAR", [(r[0], *r[5:]) for r in _FIRST]))
 def fixture_first_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _frame(spark, "id long, poster string, headline string, text string, strict boolean", [r[:5] for r in _FIRST])
     none = F.expr("cast(array() as array<string>)")
@@ -290,7 +290,7 @@ def fixture_first_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made[0].unionByName(made[1]).select("id", "source_type", "keep", F.col("keep_reason").alias("why"))
 
 
-@query(expected("tokens VARCHAR", [("poster:Asha; followers:31k; verified:yes; source:creator (ok)",), ("poster:(unknown)",)]))
+@case(expected("tokens VARCHAR", [("poster:Asha; followers:31k; verified:yes; source:creator (ok)",), ("poster:(unknown)",)]))
 def fixture_audit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _frame(spark, "p string, h string, s string, r string, t string", [("Asha", "31k+ LinkedIn, verified", "creator", "ok", "x"), ("", "", "", "", "")])
     return rows.select(F.array_join(audit_tokens(*(F.col(c) for c in "phsrt")), "; ").alias("tokens"))
@@ -300,7 +300,7 @@ _REPLY = '```json\n{"results":[{"id":0,"keep":"false","reason":" a ","source_typ
 _TOLERANT = [(0, True, "a", "spam"), (1, False, "b", "spam"), (2, True, "", "company"), (3, False, "", "spam")]
 
 
-@query(expected("id INTEGER, keep BOOLEAN, reason VARCHAR, source_type VARCHAR", _TOLERANT))
+@case(expected("id INTEGER, keep BOOLEAN, reason VARCHAR, source_type VARCHAR", _TOLERANT))
 def fixture_verdict_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _frame(spark, "reply string, n int", [(_REPLY, 4), ("not json", 4)])
     return parse_tolerant(rows, "reply", "n").select("id", "keep", "reason", "source_type")
@@ -315,7 +315,7 @@ def _strict_row(i: object, **other: object) -> str:
 _STRICT_REPLY = "{\"results\":[" + ",".join([_strict_row(0), _strict_row("1", intent=" Mention_Only "), _strict_row(2, role_named="true"), _strict_row(3, intent="else"), _strict_row(7)]) + "]}"
 
 
-@query(expected("kind VARCHAR, id INTEGER, intent VARCHAR, role_named BOOLEAN, reason VARCHAR", [("plain", 0, "company_hiring", True, "r"), ("plain", 1, "mention_only", True, "r"), ("chatty", 0, "company_hiring", True, "r"), ("chatty", 1, "mention_only", True, "r")]))
+@case(expected("kind VARCHAR, id INTEGER, intent VARCHAR, role_named BOOLEAN, reason VARCHAR", [("plain", 0, "company_hiring", True, "r"), ("plain", 1, "mention_only", True, "r"), ("chatty", 0, "company_hiring", True, "r"), ("chatty", 1, "mention_only", True, "r")]))
 def fixture_verdict_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _frame(spark, "kind string, reply string, n int", [("plain", _STRICT_REPLY, 5), ("chatty", f"Sure {{ok}}: {_STRICT_REPLY} bye", 5)])
     fixed = rows.withColumn("reply", F.when(F.col("kind") == "chatty", salvage(F.col("reply"))).otherwise(F.col("reply")))
@@ -334,7 +334,7 @@ _KEEP = [
 ]
 
 
-@query(expected("id BIGINT, keep BOOLEAN, reason VARCHAR, source VARCHAR", [(r[0], *r[10:]) for r in _KEEP]))
+@case(expected("id BIGINT, keep BOOLEAN, reason VARCHAR, source VARCHAR", [(r[0], *r[10:]) for r in _KEEP]))
 def fixture_semantic_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     ddl = "id long, intent string, role_named boolean, author_is_hirer boolean, is_offer_not_request boolean, text string, categories array<string>, link_class string, employer string, aff boolean"
     rows = _frame(spark, ddl, [r[:10] for r in _KEEP])
@@ -346,12 +346,12 @@ def fixture_semantic_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROSE = [("acme intern", False), ("two\nlines", True), ("w " * 23, True), ("x" * 161, True), ("One. Two. " + "y" * 75, True), ("", False)]
 
 
-@query(expected("query VARCHAR, prose BOOLEAN", _PROSE))
+@case(expected("query VARCHAR, prose BOOLEAN", _PROSE))
 def fixture_prose_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, "query string", [(r[0],) for r in _PROSE]).select("query", is_prose(F.col("query")).alias("prose"))
 
 
-@query(expected("block VARCHAR", [("--- 1 ---\ncompany: Acme\nrole: ML intern wanted\nwhy_matched: a; gate_reason:good\npost_url: ",), ("--- 2 ---\ncompany: Sam\nrole: SDE\nwhy_matched: has good\npost_url: u\nsource_type: creator",)]))
+@case(expected("block VARCHAR", [("--- 1 ---\ncompany: Acme\nrole: ML intern wanted\nwhy_matched: a; gate_reason:good\npost_url: ",), ("--- 2 ---\ncompany: Sam\nrole: SDE\nwhy_matched: has good\npost_url: u\nsource_type: creator",)]))
 def fixture_result_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ddl = "n int, company string, poster string, role string, snippet string, why_matched string, gate_reason string, post_url string, source_type string"
     rows = _frame(spark, ddl, [(1, "Acme", "P", "", "ML  intern wanted", "a", "good", "", ""), (2, "", "Sam", "SDE", "x", "has good", "good", "u", "creator")])
@@ -380,18 +380,18 @@ _WALK = [
 ]
 
 
-@query(expected("seq BIGINT, target VARCHAR", [(1, "Acme"), (2, "Acme"), (3, "Acme"), (3, "Zeta Labs"), (4, "Acme"), (5, "Zeta Labs"), (7, "Acme")]))
+@case(expected("seq BIGINT, target VARCHAR", [(1, "Acme"), (2, "Acme"), (3, "Acme"), (3, "Zeta Labs"), (4, "Acme"), (5, "Zeta Labs"), (7, "Acme")]))
 def fixture_mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mention_join(_posts(spark, _WALK), "seq", haystack(), _frame(spark, "target string", [("Acme",), ("Zeta Labs",), ("Nobody Inc",), ("東京",)]))
 
 
-@query(expected("seq BIGINT, target VARCHAR, stage VARCHAR", [(1, "Acme", "kept"), (3, "Acme", "prefilter"), (3, "Zeta Labs", "prefilter"), (4, "Acme", "too_old"), (5, "Zeta Labs", "kept"), (7, "Acme", "over_limit")]))
+@case(expected("seq BIGINT, target VARCHAR, stage VARCHAR", [(1, "Acme", "kept"), (3, "Acme", "prefilter"), (3, "Zeta Labs", "prefilter"), (4, "Acme", "too_old"), (5, "Zeta Labs", "kept"), (7, "Acme", "over_limit")]))
 def fixture_company_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _frame(spark, "target string", [("Acme",), ("Zeta Labs",)])
     return company_walk(_posts(spark, _WALK), targets, keep_undated=True, limit=1).select("seq", "target", "stage")
 
 
-@query(expected("seq BIGINT, stage VARCHAR", [(1, "kept"), (3, "not_hiring"), (4, "too_old"), (5, "undated"), (6, "not_hiring"), (7, "kept")]))
+@case(expected("seq BIGINT, stage VARCHAR", [(1, "kept"), (3, "not_hiring"), (4, "too_old"), (5, "undated"), (6, "not_hiring"), (7, "kept")]))
 def fixture_keyword_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_posts(_posts(spark, _WALK)).select("seq", "stage")
 
@@ -399,7 +399,7 @@ def fixture_keyword_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GATED = [(1, "kept"), (2, "gate:candidate_seeking"), (3, "gate:blocked_profile"), (4, "gate:invalid_json"), (5, "gate:not_hirer")]
 
 
-@query(expected("seq BIGINT, stage VARCHAR, kept BOOLEAN", [(n, s, s == "kept") for n, s in _GATED]))
+@case(expected("seq BIGINT, stage VARCHAR, kept BOOLEAN", [(n, s, s == "kept") for n, s in _GATED]))
 def fixture_semantic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "A", "", "Apply here"), (2, "B", "", "I'm looking for a role"), (3, "Bad", "", "Apply here"), (4, "C", "", "Apply here"), (5, "D", "", "text")]
     posts = _posts(spark, [(n, p, h, t, f"u{n}", [], 1.0) for n, p, h, t in rows]).withColumns({"company": F.lit("Acme"), "poster_employer": F.lit(""), "author_affiliation_matches_target": F.lit(False)})
@@ -412,7 +412,7 @@ def fixture_semantic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated.join(kept, "post_url").select("seq", "stage", "kept")
 
 
-@query(expected("seq BIGINT, rank INTEGER, why_matched VARCHAR", [(2, 0, "gate:keep,source:company; poster:B (ok)"), (1, 3, "gate:keep,source:creator; poster:A; followers:12k")]))
+@case(expected("seq BIGINT, rank INTEGER, why_matched VARCHAR", [(2, 0, "gate:keep,source:company; poster:B (ok)"), (1, 3, "gate:keep,source:creator; poster:A; followers:12k")]))
 def fixture_relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = _posts(spark, [(1, "A", "12k followers", "t", "", [], 1.0), (2, "B", "", "t", "", [], 1.0), (3, "C", "", "t", "", [], 1.0), (4, "D", "", "t", "", [], 1.0)])
     verdicts = _frame(spark, "seq long, keep boolean, reason string, source_type string", [(1, True, "", "creator"), (2, True, "ok", "company"), (3, True, "", "aggregator")])
@@ -422,14 +422,14 @@ def fixture_relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKED = f"{_SITE}/feed/update/urn:li:activity:7489706814855344128/"
 
 
-@query(expected("seq BIGINT, url_reason VARCHAR, post_url VARCHAR", [(1, "exact", _LINKED), (2, "anchor", _LINKED), (3, "cache", "https://cached.example/"), (4, "no_permalink", ""), (5, "budget", "")]))
+@case(expected("seq BIGINT, url_reason VARCHAR, post_url VARCHAR", [(1, "exact", _LINKED), (2, "anchor", _LINKED), (3, "cache", "https://cached.example/"), (4, "no_permalink", ""), (5, "budget", "")]))
 def fixture_permalink_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = _posts(spark, [(1, "A", "", "t", _LINKED, [], 1.0), (2, "B", "", "t", "", ["/in/b/", "/feed/update/urn%3Ali%3Aactivity%3A7489706814855344128/"], 1.0), (3, "C", "", "Hello", "", [], 1.0), (4, "D", "", "t", f"{_SITE}/search/results/content/", [], 1.0), (5, "E", "", "t", "", [], 1.0)])
     cache = _frame(spark, "cache_key string, permalink string", [("c|hello", "https://cached.example/")])
     return fill_permalinks(posts, cache, budget=3).select("seq", "url_reason", "post_url")
 
 
-@query(expected("seq BIGINT, company_class VARCHAR, startup BOOLEAN", [(1, "funded_startup", True), (2, "", False)]))
+@case(expected("seq BIGINT, company_class VARCHAR, startup BOOLEAN", [(1, "funded_startup", True), (2, "", False)]))
 def fixture_company_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = _posts(spark, [(1, "ACME ", "", "t", "", [], 1.0), (2, "B", "", "t", "", [], 1.0)])
     classes = _frame(spark, "name string, category string, confidence double", [("Acme", "funded_startup", 0.9)])

@@ -10,6 +10,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+_CASES: dict[str, Query] = {}
+_ANSWERS: dict[str, str] = {}
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -24,12 +26,22 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def case(answer: str) -> Callable[[Query], Query]:
+    """A rule on a few inline rows with the expected answers: for tests only, no registered query."""
+
+    def add(f: Query) -> Query:
+        _CASES[f.__name__], _ANSWERS[f.__name__] = f, answer
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _load() -> None:
-    from siftwell.plans import conversations, documents, events, fixtures, flows, pages, parties, records  # noqa: F401
+    from siftwell.plans import conversations, documents, events, flows, pages, parties, records, rules  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -40,3 +52,10 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_ORACLES)
+
+
+def cases() -> dict[str, tuple[Query, str]]:
+    """The inline cases by name, each with the SQL of its expected answers."""
+    from siftwell.plans import fixtures  # noqa: F401
+
+    return {name: (f, _ANSWERS[name]) for name, f in _CASES.items()}

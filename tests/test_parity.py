@@ -48,5 +48,15 @@ def test_query_equals_sql(spark, con, name):
     assert _rows(df.columns, df.collect()) == _rows(names, cur.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(registry.cases()))
+def test_case_has_its_answer(spark, con, name):
+    f, answer = registry.cases()[name]
+    df, cur = f(spark, DATA), con.execute(answer)
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert _rows(df.columns, df.collect()) == _rows(names, cur.fetchall())
+
+
 def test_every_query_has_a_twin():
     assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert not registry.queries().keys() & registry.cases().keys()
