@@ -243,6 +243,20 @@ def activity_permalink(digits: Column) -> Column:
     return F.when(plausible_id(own), update_url(F.lit("activity"), own)).otherwise(F.lit(""))
 
 
+def embedded_permalink(blob: Column) -> Column:
+    """The permalink in an embed frame's source or text: the first URN, where its id is plausible."""
+    own = F.replace(blob, F.lit("&amp;"), F.lit("&"))
+    found = F.coalesce(F.try_url_decode(F.replace(own, F.lit("+"), F.lit("%2B"))), own)
+    kind, digits = (F.regexp_extract(found, r"(?i)urn:li:(share|activity|ugcPost):(\d+)", n) for n in (1, 2))
+    return F.when(plausible_id(digits), update_url(_kind(kind), digits)).otherwise(F.lit(""))
+
+
+def activity_id_in_html(html: Column) -> Column:
+    """The first activity id in an anchor of a card's markup; other attributes don't count."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<a[^>]+href=[\x22']([^\x22']+)[\x22']"), F.lit(1)), activity_id)
+    return F.coalesce(F.try_element_at(F.filter(found, lambda i: i != ""), F.lit(1)), F.lit(""))
+
+
 def canonical_permalink(url: Column) -> Column:
     """``/feed/update/urn:li:<kind>:<id>/`` for whatever names a post: a URN, an encoded URN or a slug; else empty."""
     own = _decoded(url)

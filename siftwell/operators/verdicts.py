@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.text import strip_fences, text_of
+from siftwell.functions.text import snippet, strip_fences, text_of
 from siftwell.operators.provenance import is_roundup
 
 INTENTS = ("company_hiring", "candidate_seeking", "project_showcase", "offer_celebration", "referral_or_roundup", "mention_only", "other")
@@ -161,7 +161,42 @@ def kept_rank(source_type: Column) -> Column:
     return F.when(source_type == "company", 0).when(source_type == "employee", 1).when(source_type == "recruiter", 2).when(source_type == "creator", 3).otherwise(9)
 
 
+def quoted_text(value: Column) -> Column:
+    """Text in quotes as a prompt shows it: double ones where only single ones stand inside; breaks, tabs, backslashes escaped."""
+    own = F.replace(text_of(value), F.lit("\\"), F.lit("\\\\"))
+    for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        own = F.replace(own, F.lit(char), F.lit(shown))
+    double = own.contains("'") & ~own.contains('"')
+    return F.when(double, F.concat(F.lit('"'), own, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(own, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _quoted_list(values: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(values, F.expr("cast(array() as array<string>)")), quoted_text), ", "), F.lit("]"))
+
+
 def post_block(df: DataFrame, index: str = "id") -> Column:
-    """The text that describes one record to a model."""
-    line = lambda label, c: F.concat(F.lit(f"{label}: "), text_of(c))
-    return F.concat_ws("\n", F.concat(F.lit("["), F.col(index).cast("string"), F.lit("]")), *(line(c, c) for c in ("company", "poster", "poster_headline", "post_text") if c in df.columns))
+    """The text that describes one record to a model; columns that ``df`` lacks are blank.
+
+    Links are the first six, the job link before them where it isn't one; the text is cut at 600 characters.
+    """
+    have = set(df.columns)
+    t = lambda c: text_of(c) if c in have else F.lit("")
+    listed = lambda c: F.coalesce(F.col(c) if c in have else F.lit(None), F.array()).cast("array<string>")
+    or_else = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    links = F.array_join(F.filter(F.slice(listed("outbound_links"), 1, 6), lambda u: u != ""), ", ")
+    with_job = F.when((t("job_link") != "") & ~F.contains(links, t("job_link")), F.regexp_replace(F.concat(t("job_link"), F.lit("; "), links), r"^[; ]+|[; ]+$", "")).otherwise(links)
+    affiliated = F.when(F.coalesce(F.col("affiliated"), F.lit(False)), "True").otherwise("False") if "affiliated" in have else F.lit("False")
+    counts = F.col("engagement") if "engagement" in have else F.lit(None).cast("map<string,bigint>")
+    shown = F.array_join(F.transform(F.map_entries(counts), lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), e["value"].cast("string"))), ", ")
+    fields = (("target_company", "company"), ("poster", "poster"), ("headline", "poster_headline"), ("role", "role"), ("link_class", "link_class"))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("["), F.col(index).cast("string"), F.lit("] "), F.concat_ws(" ", *(F.concat(F.lit(f"{label}="), quoted_text(t(c))) for label, c in fields))),
+        F.concat(F.lit("link_categories: "), _quoted_list(listed("link_categories"))),
+        F.concat(F.lit("poster_employer: "), or_else(t("poster_employer"), "(unknown)"), F.lit("; author_affiliation_matches_target: "), affiliated),
+        F.concat(F.lit("engagement: {"), F.coalesce(shown, F.lit("")), F.lit("}")),
+        F.concat(F.lit("engagement_spam_signal: "), or_else(t("engagement_spam_signal"), "(none)")),
+        F.concat(F.lit("profile_prior: "), or_else(t("profile_prior"), "(none)"), F.lit("; profile_opening_domains: "), _quoted_list(listed("profile_opening_domains"))),
+        F.concat(F.lit("links: "), or_else(with_job, "(none)")),
+        F.concat(F.lit("text: "), snippet(t("post_text"), 600)),
+    )

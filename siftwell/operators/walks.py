@@ -106,6 +106,27 @@ def is_startup(company_class: Column) -> Column:
     return company_class == "funded_startup"
 
 
+#: Fixed value: a post's path in the markup that the server sent.
+_UPDATE_PATH = r"/feed/update/(urn:li:(?:share|activity|ugcPost):\d+)/"
+
+
+def assign_strays(posts: DataFrame, pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """``posts`` with the permalink that only one of them can have: a page with exactly one post without a URL whose markup names exactly one.
+
+    ``stray`` says which were filled.  Both counts are one partial aggregate by page; only
+    posts without a URL are joined, so resolved posts of a large page don't move.  Null keys
+    match no page; pages without posts and posts without pages change nothing.
+    """
+    none = F.coalesce("post_url", F.lit("")) == ""
+    urns = F.regexp_extract_all(html, F.lit(_UPDATE_PATH), F.lit(1))
+    named = pages.select(key, F.lit(0).alias("_open"), F.size(urns).alias("_urns"), F.try_element_at(urns, F.lit(1)).alias("_urn"))
+    counted = posts.where(none).select(key, F.lit(1).alias("_open"), F.lit(0).alias("_urns"), F.lit(None).cast("string").alias("_urn")).unionByName(named)
+    sure = counted.groupBy(key).agg(F.sum("_open").alias("_open"), F.sum("_urns").alias("_urns"), F.max("_urn").alias("_urn")).where("_open = 1 and _urns = 1").select(key, "_urn")
+    url = F.when(F.col("_urn").isNotNull(), F.concat(F.lit("https://www.linkedin.com/feed/update/"), "_urn", F.lit("/"))).otherwise(F.coalesce("post_url", F.lit("")))
+    filled = posts.where(none).join(sure, key, "left").withColumns({"post_url": url, "stray": F.col("_urn").isNotNull()})
+    return posts.where(~none).withColumn("stray", F.lit(False)).unionByName(filled.drop("_urn"))
+
+
 def fill_permalinks(posts: DataFrame, cache: DataFrame | None = None, budget: int | None = None, order: str = "seq") -> DataFrame:
     """Set ``post_url`` and ``url_reason``: already exact, from an anchor, from the cache ``(cache_key, permalink)``, or none.
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import engagement, is_more_label, is_truncated, snippet
 from siftwell.functions.urls import company_host, host, is_internal, is_outbound, is_shortener, job_id, job_link, unwrapped
+from siftwell.operators.classes import merged, pending, read_replies
 from siftwell.operators.provenance import engagement_signal
 from siftwell.operators.search_terms import is_prose, sanitised
-from siftwell.operators.walks import is_startup, label_companies
+from siftwell.operators.verdicts import post_block
+from siftwell.operators.walks import assign_strays, is_startup, label_companies
 from siftwell.plans.registry import query, table
 from siftwell.sinks.writers import result_blocks, result_row
 
@@ -117,3 +119,56 @@ def engagement_signals_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = F.array(F.lit("https://lnkd.in/a"), F.when(F.col("event_type") == "view", "https://lnkd.in/b").otherwise("https://x.example/"))
     rows = table(spark, sf_dir, "events").select("event_id", links.alias("links"), engagement(said).alias("e"))
     return rows.select("event_id", F.col("e")["likes"].alias("likes"), F.col("e")["comments"].alias("comments"), engagement_signal(F.col("e"), F.col("links")).alias("signal"))
+
+
+_STRAY = "urn:li:activity:740000000000"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, i FROM pages, unnest(range(0, 3)) t(i) WHERE page_id % 3 <> 1 OR i < 2)
+    SELECT page_id, i::INT AS i, CASE WHEN i > 0 AND page_id % 3 <> 1 THEN 'https://x.example/' || i WHEN page_id % 3 = 0 THEN 'https://www.linkedin.com/feed/update/{_STRAY}' || lpad((page_id % 10000000)::VARCHAR, 7, '0') || '/' ELSE '' END AS post_url,
+    page_id % 3 = 0 AND i = 0 AS stray FROM p"""
+)
+def strays_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with one open post and one URN, with two open posts, and with two URNs: only the first kind is filled."""
+    own = F.lpad((F.col("page_id") % 10_000_000).cast("string"), 7, "0")
+    link = F.concat(F.lit(f'<a href="/feed/update/{_STRAY}'), own, F.lit('/">'))
+    pages = table(spark, sf_dir, "pages")
+    marked = pages.select("page_id", F.concat("html", link, F.when(F.col("page_id") % 3 == 2, F.replace(link, F.lit("activity"), F.lit("share"))).otherwise(F.lit(""))).alias("html"))
+    posts = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.when(F.col("page_id") % 3 == 1, 1).otherwise(2))).alias("i"))
+    posts = posts.withColumn("post_url", F.when((F.col("i") > 0) & (F.col("page_id") % 3 != 1), F.concat(F.lit("https://x.example/"), F.col("i").cast("string"))).otherwise(F.lit("")))
+    return assign_strays(posts, marked, "page_id").select("page_id", "i", "post_url", "stray")
+
+
+@query(
+    """SELECT lower(c_name) AS name_key, CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'funded_startup' ELSE 'unknown' END AS category,
+    CASE WHEN c_mktsegment = 'MACHINERY' THEN 'low' ELSE 'high' END AS confidence, CASE WHEN c_mktsegment = 'BUILDING' THEN 'cache' ELSE 'model-guess' END AS source FROM customer"""
+)
+def class_cache_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment is cached; the others are asked for in batches, and a segment is never answered, another with a class that doesn't exist."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    columns = [F.lower("c_name").alias("name_key"), F.col("c_name").alias("name"), F.lit("funded_startup").alias("category"), F.lit("high").alias("confidence"), F.lit("cache").alias("source")]
+    cache = customers.where("c_mktsegment = 'BUILDING'").select(*columns)
+    twice = customers.select(F.col("c_custkey").alias("seq"), F.concat(F.lit(" "), "c_name").alias("name")).unionByName(customers.select((F.col("c_custkey") + 10**9).alias("seq"), F.upper("c_name").alias("name")))
+    asked = pending(twice, cache)
+    facts = customers.select(F.lower("c_name").alias("name_key"), "c_mktsegment")
+    row = F.struct(F.upper("name").alias("company"), F.when(F.col("c_mktsegment") == "AUTOMOBILE", " Funded_Startup").otherwise("farm").alias("category"), F.lit("HIGH").alias("confidence"))
+    answered = asked.join(facts, "name_key").where("c_mktsegment <> 'MACHINERY'")
+    replies = answered.groupBy("batch").agg(F.to_json(F.struct(F.collect_list(row).alias("results"))).alias("reply"))
+    once = merged(cache, read_replies(replies, asked))
+    return merged(once, read_replies(replies, asked)).select("name_key", "category", "confidence", "source")
+
+
+@query(
+    r"""SELECT conv_id, turn, '[' || turn || '] target_company=' || CASE WHEN conv_id % 2 = 0 THEN '"O''Neil"' ELSE '''Acme''' END || ' poster=''' || role || ''' headline='''' role='''' link_class=''''' || chr(10) || 'link_categories: [''a'', ''b'']' || chr(10)
+    || 'poster_employer: (unknown); author_affiliation_matches_target: False' || chr(10) || 'engagement: {''likes'': ' || turn || '}' || chr(10) || 'engagement_spam_signal: (none)' || chr(10) || 'profile_prior: (none); profile_opening_domains: []' || chr(10)
+    || 'links: https://j/' || conv_id || '; https://x/1' || chr(10) || 'text: ' || CASE WHEN length(t) > 600 THEN rtrim(substr(t, 1, 599)) || '…' ELSE t END AS block
+    FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations)"""
+)
+def prompt_blocks_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the blocks that describe records to a model."""
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, "O'Neil").otherwise("Acme").alias("company"), F.col("role").alias("poster"), F.array(F.lit("a"), F.lit("b")).alias("link_categories"), F.create_map(F.lit("likes"), F.col("turn")).alias("engagement"),
+        F.array(F.lit("https://x/1")).alias("outbound_links"), F.concat(F.lit("https://j/"), F.col("conv_id").cast("string")).alias("job_link"), F.col("text").alias("post_text"),
+    )
+    return rows.select("conv_id", "turn", post_block(rows, "turn").alias("block"))
