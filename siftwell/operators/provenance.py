@@ -21,11 +21,14 @@ CREDIBLE_FOLLOWERS = 10_000
 DM_REFERRAL = r"(?iUs)\b(?:dm|message|ping)\s+me\b.{0,80}\b(?:referral|refer)\b|\b(?:referral|refer)\b.{0,80}\b(?:dm|message)\s+me\b"
 GROUP_INVITE = r"(?iU)\bjoin\s+(?:my|our)\s+(?:whatsapp|telegram|discord|community)\b|\bwhatsapp\s+group\b|\btelegram\s+(?:group|channel)\b"
 GENERIC_DM = r"(?iUs)\bi['’]m hiring\b.{0,80}\bdm me\b|\bdm me\b.{0,80}\b(?:hiring|intern)"
-ROLE_DUMP = r"(?iU)(?:(?:^|\n)\s*(?:\d+[\).]|[-•]|[1-9]️⃣)\s*.{0,90}(?:intern|opening|hiring|role).*){2,}"
+#: The rest of a listed line behind its blanks: a number, bullet or keycap, then an opening's word within 90 code points.
+_LISTED = r"(?:\d++[\).]|[-•]|[1-9]️⃣)\s*+(?=[^\n]{0,90}?(?:intern|opening|hiring|role))[^\n]*+"
+#: Two listed lines on end, blank lines aside.  Nothing is given back once it is taken, so the cost is linear in the text.
+ROLE_DUMP = rf"(?iU)(?:^|\n)[^\S\n]*+{_LISTED}\n\s*+{_LISTED}"
 FARMER = r"(?iU)\b(?:referral farmer|job aggregator|daily job alert|jobscan)\b|\bfollow\s+for\s+(?:more\s+)?(?:jobs|openings)\b"
 ROUNDUP = r"(?iU)\b(?:mass hiring|multiple hiring alerts?|latest tech openings?|hiring alerts?|top (?:tech )?openings?|job roundup)\b"
 NAMED_HIRING = r"(?U)\b([A-Z][\w&.-]*(?:\s+[A-Z][\w&.-]*){0,2})\s+(?:is\s+|now\s+)?hiring\b"
-NAMED_FIELD = r"(?iU)(?:^|\n)\s*company\s*:\s*([^\n|#]+)"
+NAMED_FIELD = r"(?iU)(?:^|\n)[^\S\n]*+company\s*:\s*([^\n|#]+)"
 AGGREGATOR = (
     r"(?iU)edutech|edu[\s\-]?tech|job.?alert|jobs?\s+daily|hiring\s+alert|job\s*board|career\s*(?:radar|digest|update)|frontlines|jobright"
     r"|jobscan|daily\s+jobs|jobs\s+in\s+the|vacancy\s*alert|fresher\s*jobs|cybersecurity jobs|hiring opportunities"
