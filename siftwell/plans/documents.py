@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.text import folded_case, has_any_term, identity_key, prompt_head, search_tokens, sentences, snippet, text_of
 from siftwell.operators.funnel import drop_map, first_stage, funnel, keep_first, tally, top_counts
 from siftwell.operators.matching import Vocabulary, match_terms
+from siftwell.operators.provenance import roundup_signals
 from siftwell.plans.registry import query, table
 
 #: The default vocabularies don't occur in invented prose; these terms do, in its four languages.
@@ -116,3 +117,17 @@ def search_token_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
 def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_counts(table(spark, sf_dir, "documents"), "source", 5)
+
+
+_ITEM_SQL = r"""regexp_matches(l, '(?i)^\s*(\d+[).]|[-•]|[1-9]\x{FE0F}\x{20E3})\s*.{0,90}(intern|opening|hiring|role)')"""
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, replace(replace(regexp_replace(coalesce(text, ''), '(^|\s)#\w+', '\1', 'g'), '. ', chr(10) || '- '), 'and', 'role') AS t FROM documents),
+    l AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(t, '((?:^|\n)\s*(?:\d+[).]|[-•]))\s+', '\1 ', 'g'), chr(10)), lambda l: regexp_matches(l, '\S')), lambda l: {_ITEM_SQL}) AS items FROM t)
+    SELECT doc_id, len(list_filter(range(1, len(items)), lambda i: items[i] AND items[i + 1])) > 0 AS listed FROM l"""
+)
+def role_lists_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents, their sentences taken as bullets and a frequent word as the role, list two openings on end."""
+    body = F.replace(F.replace(text_of("text"), F.lit(". "), F.lit("\n- ")), F.lit("and"), F.lit("role"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_contains(roundup_signals(body), "multi-role-dump").alias("listed"))

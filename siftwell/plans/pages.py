@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.urls import classify_links, clean_link, host, host_in, hrefs, link_categories, normalised_href, resolve_links
 from siftwell.plans.registry import query, table
 from siftwell.sources.html import attribute, job_cards, job_fields, post_cards, post_fields, says_no_results
+from siftwell.sources.report import most_frequent, name_counts, page_facts
 from siftwell.sources.tree import Rule, all_of, below, first_of_rule, nodes_of, text_content
 
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
@@ -129,3 +130,32 @@ def job_cards_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<ul>"), F.array_join(F.transform(found, item), ""), F.lit("</ul>")).alias("html"))
     return job_fields(job_cards(pages)).select("page_id", "card_index", "title", "company", "link")
+
+
+_MARKED = """SELECT page_id, regexp_replace(regexp_replace(replace(replace(html, 'class="ad"', 'class="ad-post update"'), '<article', '<article data-id="x-share-' || page_id || '" class="feed-' || coalesce(regexp_extract(html, '<title>([A-Za-z]+)', 1), '') || ' big"'), '<!--.*?-->', '', 'gs'), '(<(?:script|style)[^>]*>).*?</(?:script|style)>', '\\1', 'gs') AS h FROM pages"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose article carries a post's name and a class from its title, and whose advertisements look like posts."""
+    word = F.regexp_extract("html", "<title>([A-Za-z]+)", 1)
+    article = F.concat(F.lit('<article data-id="x-share-'), F.col("page_id").cast("string"), F.lit('" class="feed-'), word, F.lit(' big"'))
+    html = F.replace(F.replace("html", F.lit('class="ad"'), F.lit('class="ad-post update"')), F.lit("<article"), article)
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+
+
+@query(f"""SELECT page_id, len(regexp_extract_all(h, '<[a-zA-Z][^>]*>')) AS n_elements, len(regexp_extract_all(h, '<article[^>]*>')) AS n_carriers FROM ({_MARKED})""")
+def element_counts_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_facts(_marked(spark, sf_dir)).select("page_id", "n_elements", "n_carriers")
+
+
+@query(
+    f"""WITH t AS (SELECT unnest(regexp_extract_all(h, '<[a-zA-Z][^>]*>')) AS tag FROM ({_MARKED})),
+    c AS (SELECT contains(tag, 'data-id=') AS carrier, unnest(string_split(regexp_extract(tag, ' class="([^"]*)"', 1), ' ')) AS name FROM t),
+    a AS (SELECT unnest(regexp_extract_all(tag, ' ([a-z-]+)=', 1)) AS name FROM t WHERE contains(tag, 'data-id=')),
+    n AS (SELECT 'carrier_class' AS scope, name FROM c WHERE carrier AND name <> '' UNION ALL SELECT 'carrier_attribute', name FROM a UNION ALL SELECT 'class', name FROM c WHERE regexp_matches(name, '(?i)feed|update|post|search-result|occludable|entity|actor|commentary|scaffold')),
+    g AS (SELECT scope, name, count(*) AS n FROM n GROUP BY scope, name), r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n DESC, name) AS k FROM g)
+    SELECT scope, name, n FROM r WHERE k <= CASE WHEN scope = 'class' THEN 40 ELSE 25 END"""
+)
+def frequent_names_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent classes and attributes of cards and feeds: a report of the first 25 or 40."""
+    return most_frequent(name_counts(_marked(spark, sf_dir)))
