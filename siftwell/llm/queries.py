@@ -34,7 +34,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    """All that repeats, of any length, also inside one document; who removes may ask for longer runs."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), least_chars=1, within=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
