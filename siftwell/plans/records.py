@@ -17,6 +17,7 @@ from siftwell.operators.verdicts import drop_reason, parse_strict, parse_toleran
 from siftwell.operators.scans import cut_scan, scan_listings
 from siftwell.operators.walks import label_companies, mention_join
 from siftwell.plans.registry import query, table
+from siftwell.streaming.feedback import history_of, profiles_of
 
 SITE = "https://www.linkedin.com"
 _FOLDED = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -242,3 +243,34 @@ def scan_listings_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = cards.groupBy("scan", "round").agg(F.count_if(F.col("title") == "P").alias("walls"))
     cut = cut_scan(rounds, ["scan"], "round", before=[("login", F.col("walls") > 0)])
     return scan_listings(cards, cut, ["scan"], "round", "pos", most=20).select("scan", "round", "pos", "link")
+
+
+_FEEDBACK = """e AS (SELECT 'u' || user_id AS key, event_id AS seq, event_type IN ('click', 'error') AS is_label, CASE event_type WHEN 'click' THEN 'good' WHEN 'error' THEN 'bad' END AS label,
+    '{"company":"Firm ' || user_id % 7 || '","poster":"' || event_type || '","kept":' || CASE WHEN value >= 50 THEN 'true' ELSE 'false' END || '}' AS row, event_type AS poster, value >= 50 AS kept, user_id % 7 AS firm FROM events),
+    r AS (SELECT key, min(seq) AS first_seq, max(seq) AS at, arg_max(row, seq) AS row, arg_max(poster, seq) AS poster, arg_max(kept, seq) AS kept, min(firm) AS firm FROM e WHERE NOT is_label GROUP BY key),
+    l AS (SELECT e.key, arg_max(e.label, e.seq) AS label FROM e JOIN r ON e.key = r.key WHERE e.is_label AND e.seq > r.at GROUP BY e.key),
+    h AS (SELECT r.*, l.label FROM r LEFT JOIN l ON l.key = r.key)"""
+
+
+def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as feedback on their user: clicks and errors are labels, the others rows of a history."""
+    events = table(spark, sf_dir, "events").where("user_id is not null and value is not null")
+    row = F.to_json(F.struct(F.concat(F.lit("Firm "), (F.col("user_id") % 7).cast("string")).alias("company"), F.col("event_type").alias("poster"), (F.col("value") >= 50).alias("kept")))
+    label = F.when(F.col("event_type") == "click", "good").when(F.col("event_type") == "error", "Bad")
+    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.when(label.isNotNull(), "label").otherwise("row").alias("kind"), F.coalesce(label, row).alias("row"))
+
+
+@query(f"WITH {_FEEDBACK} SELECT key, first_seq, row, label FROM h")
+def feedback_history_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each key with its first place and the label given since."""
+    return history_of(_feedback(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_FEEDBACK}, p AS (SELECT 'firm ' || firm AS company_key, poster, count(*) FILTER (kept OR label = 'good') AS positives, count(*) FILTER (NOT kept OR label = 'bad') AS negatives,
+    coalesce(bool_or(label = 'good'), false) AS good, coalesce(bool_or(label = 'bad'), false) AS bad FROM h GROUP BY ALL)
+    SELECT company_key, poster, positives, negatives, (positives >= 2 OR good) AND NOT (negatives >= 2 OR bad) AS trusted, negatives >= 2 OR bad AS blocked FROM p"""
+)
+def feedback_profiles_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted and blocked posters of the history, as sums over its changes."""
+    return profiles_of(history_of(_feedback(spark, sf_dir)).withColumn("sign", F.lit(1)))
