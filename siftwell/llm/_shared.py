@@ -182,6 +182,11 @@ def in_order(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) ->
     return placed.withColumns({f"_own_{n}": F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()}).join(starts, "_p").select(*df.columns, *((F.col(f"_own_{n}") + F.col(f"_start_{n}")).alias(n) for n in sums))
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """``df`` with ``text`` and, for all other columns, names by their place, as Arrow functions and schemas read names with dots or quotes otherwise; ``toDF`` gives the names back."""
+    return df.toDF(*("text" if c == "text" else f"_{k}" for k, c in enumerate(df.columns)))
+
+
 def bucket_join(rows: DataFrame, within: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str, *, key: str, ident: str, most: int, payload: DataFrame | None = None) -> DataFrame:
     """Compare the rows that share ``key`` without ever holding an unbounded bucket.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._shared import in_small_batches
+from siftwell.llm._shared import in_small_batches, plainly_named
 from siftwell.llm.packing import text_chunks
 
 WORD = re.compile(r"\w+")
@@ -293,11 +293,11 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, least: float = LEAST, bl
 
     Every row is judged by itself, whether it has a doc_id or not; an empty benchmark keeps all.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs
+    out = plainly_named(docs)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for index in indexes(docs, items, least, block):
         out = in_small_batches(out).mapInArrow(_filter(index), kinds)
-    return out
+    return out.toDF(*docs.columns)
 
 
 def _filter(index: Index):

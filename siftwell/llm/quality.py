@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._labelled import fold, labelled_sample
-from siftwell.llm._shared import in_small_batches
+from siftwell.llm._shared import in_small_batches, plainly_named
 from siftwell.llm.packing import text_chunks
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -166,16 +166,18 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     empty table stays empty.
     """
     names = [c for c in docs.columns if c != "score"]
+    plain = plainly_named(docs)
+    places = [p for p, c in zip(plain.columns, docs.columns, strict=True) if c in names]
+    plain = plain.select(*places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, weights = Grams(), model.weights
         for batch in batches:
             margins = [float(weights[grams(t)].sum()) if len(weights) else 0.0 for _, texts in text_chunks(batch, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(model.probability(np.array(margins, dtype=float)))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), pa.array(model.probability(np.array(margins, dtype=float)))], names=[*places, "score"])
 
-    chosen = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in names))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
-    return chosen.mapInArrow(run, f"{types}, score double")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    return in_small_batches(plain).mapInArrow(run, f"{types}, score double").toDF(*names, "score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> Model:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._labelled import labelled_sample
-from siftwell.llm._shared import in_small_batches
+from siftwell.llm._shared import in_small_batches, plainly_named
 from siftwell.llm.packing import text_chunks
 
 #: Words, and the marks that end a sentence.
@@ -213,6 +213,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """
     shape = pa.schema([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
     names = [c for c in docs.columns if c not in ("score", "spans")]
+    plain = plainly_named(docs)
+    places = [p for p, c in zip(plain.columns, docs.columns, strict=True) if c in names]
+    plain = plain.select(*places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -236,19 +239,20 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 for t, size in zip(texts, sizes.tolist(), strict=True):
                     own, found = p[at : at + size], []
                     if size and own.max() >= 0.5:
-                        places = list(WORD.finditer(t))
+                        found_words = list(WORD.finditer(t))
                         for k in np.flatnonzero(own >= 0.5).tolist():
-                            a, b, v = places[k].start(), places[k].end(), float(own[k])
+                            a, b, v = found_words[k].start(), found_words[k].end(), float(own[k])
                             if found and found[-1][3] == k - 1:
                                 found[-1][1:] = [b, max(v, found[-1][2]), k]
                             else:
                                 found.append([a, b, v, k])
                     spans.append([{"start": a, "end": b, "score": v} for a, b, v, _ in found])
                     at += size
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, shape[0].type), pa.array(spans, shape[1].type)], names=[*names, "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), pa.array(scores, shape[0].type), pa.array(spans, shape[1].type)], names=[*places, "score", "spans"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in names)).schema)
-    return in_small_batches(docs).select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{kinds}, score double, spans array<struct<start:bigint,end:bigint,score:double>>")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    scored = in_small_batches(plain).mapInArrow(run, f"{kinds}, score double, spans array<struct<start:bigint,end:bigint,score:double>>")
+    return scored.toDF(*names, "score", "spans")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Model:
@@ -258,6 +262,5 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0
 
 def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score below ``least``; columns are untouched, also those named like the operator's own."""
-    aside = {c: f"_own_{c}" for c in ("score", "spans") if c in docs.columns}
-    kept = score_documents(docs.withColumnsRenamed(aside), model).where(F.col("score") < least)
-    return kept.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
+    kept = score_documents(plainly_named(docs), model).where(F.col("score") < least)
+    return kept.drop("score", "spans").toDF(*docs.columns)
