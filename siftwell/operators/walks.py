@@ -75,16 +75,16 @@ def _by_first_word(texts: DataFrame, key: str, names: DataFrame, name: str) -> D
     return places.join(first, ["_wide", "_word"]).where(F.startswith("_run", F.concat("_core", F.lit(" ")))).select(key, name)
 
 
-def mention_join(posts: DataFrame, key: str, text: Column, companies: DataFrame, name: str = "target", *, most_bytes: int = AUTOMATON_BYTES, most_names: int = AUTOMATON_NAMES) -> DataFrame:
+def mention_join(posts: DataFrame, key: str, text: Column, companies: DataFrame, name: str = "target", *, fold: Callable[[Column], Column] = fold_company, most_bytes: int = AUTOMATON_BYTES, most_names: int = AUTOMATON_NAMES) -> DataFrame:
     """``key, target`` for every post and company that it mentions, once each.
 
-    A name is mentioned exactly where the words of its folded core stand in the folded
-    text.  The names' size is measured first: up to the bounds an automaton of all names
+    A name is mentioned exactly where the words of its core, ``fold`` of it, stand in the
+    folded text: without a company's suffix words, or with ``folded`` all of its words.  The names' size is measured first: up to the bounds an automaton of all names
     goes to the executors and reads each text once, without a shuffle of texts; beyond,
     names are dealt by their first word.  Null texts and names mention nothing; names
     without ASCII letters are folded by Unicode words; repeated rows count once.
     """
-    core = fold_company(F.col(name))
+    core = fold(F.col(name))
     names = companies.where(F.col(name).isNotNull()).select(name).distinct().withColumns({"_wide": core == "", "_core": F.when(core != "", core).otherwise(_wide(F.col(name)))}).where("_core <> ''")
     count, size = names.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_core") + F.octet_length(name)), F.lit(0))).first()
     texts = posts.select(key, folded(F.coalesce(text, F.lit(""))).alias("_ascii"), _wide(F.coalesce(text, F.lit(""))).alias("_wide"))

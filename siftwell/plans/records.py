@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.dates import post_age, relative_age
-from siftwell.functions.entities import affiliated, employer
+from siftwell.functions.entities import affiliated, employer, folded
 from siftwell.functions.text import engagement, escape_markdown, follower_count
 from siftwell.functions.urls import activity_permalink, canonical_permalink, content_search_url, is_exact_post, is_feed_page, job_search_url, permalink_cache_key, urls_in_text
 from siftwell.operators.provenance import heuristic_reject, roundup_signals
@@ -127,7 +127,7 @@ def mentions_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents mention the first two words of which benchmark items."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
     names = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(words, 1, 2), " ").alias("target")).where("target <> ''")
-    return mention_join(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")), names)
+    return mention_join(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")), names, fold=folded)
 
 
 @query("SELECT e.event_id, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE r_name END, '') AS company_class FROM events e LEFT JOIN nation ON n_nationkey = e.user_id % 30 LEFT JOIN region ON r_regionkey = n_regionkey")

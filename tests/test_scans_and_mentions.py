@@ -92,3 +92,27 @@ def test_mentions_of_nothing(spark, most_names):
     assert mention_join(none, "id", F.col("text"), names, most_names=most_names).count() == 0
     some = spark.createDataFrame([(1, "acme")], "id int, text string")
     assert mention_join(some, "id", F.col("text"), names.where("false"), most_names=most_names).count() == 0
+
+
+@pytest.mark.parametrize("most_names", [1_000, 0])
+def test_names_that_are_no_companies_keep_all_words(spark, most_names):
+    from siftwell.functions.entities import folded
+
+    posts = spark.createDataFrame([(1, "of la here"), (2, "of La-AI here"), (3, "la company ai")], "id int, text string")
+    names = spark.createDataFrame([("la ai",), ("la company",)], "target string")
+    of = lambda **fold: {tuple(r) for r in mention_join(posts, "id", F.col("text"), names, most_names=most_names, **fold).collect()}
+    assert of(fold=folded) == {(2, "la ai"), (3, "la company")}
+    assert of() == {(k, name) for k in (1, 2, 3) for name in ("la ai", "la company")}
+
+
+def test_mentions_of_documents_whose_items_begin_like_companies(spark, tmp_path):
+    from siftwell.plans import registry
+
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(1, "la group here"), (2, "La-AI, here"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("la ai is an item",), ("La Group",), ("la",), (None,)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = set(con.execute(registry.oracle_sql()["mentions_of_documents"]).fetchall())
+    assert {tuple(r) for r in registry.queries()["mentions_of_documents"](spark, str(tmp_path)).collect()} == want == {(1, "la group"), (1, "la"), (2, "la ai"), (2, "la")}
