@@ -137,3 +137,8 @@ def test_references_end_with_a_semicolon(spark, tmp_path):
     assert decoded("&amp;&amp &copy=2 &#65; &#65 &#x41;&nosuch; &notit; &middot;") == "&&amp &copy=2 A &#65 A&nosuch; &notit; ·"
     assert read_nodes('<a href="/a?x=1&copy=2&amp;y">')[0]["attrs"] == {"href": "/a?x=1&copy=2&y"}
     assert [r[3] for r in _twin(spark, tmp_path, "page_outline")] == ["Fish && and&amp", "Fish && &lt; &lt", "Fish &amp;&amp; and&amp"]
+
+
+def test_cut_references_in_the_text_of_posts(spark, tmp_path):
+    texts = [r[4] for r in _twin(spark, tmp_path, "post_cards_of_pages")]
+    assert texts[0] == "Fish && and&amp 1 < 2 &am \"x'' &ampx &notin &gt"
