@@ -154,7 +154,7 @@ def hashtags(text: Column) -> Column:
 
 
 def without_hashtags(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)(?<!\w)#\w+", "")
+    return F.regexp_replace(text, r"(?U)#(?<!\w#)\w+", "")
 
 
 def company_line(text: Column) -> Column:

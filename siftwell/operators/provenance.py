@@ -6,11 +6,13 @@ depends on the row is built from the row's company name inside the plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.entities import fold_company, mentions, same_company
-from siftwell.functions.text import company_line, follower_count, format_followers, has_term, is_verified, quoted, text_of, without_hashtags
+from siftwell.functions.text import bound, company_line, follower_count, format_followers, has_term, is_verified, no_strings, quoted, text_of, without_hashtags
 from siftwell.functions.urls import classify_links, is_shortener, link_categories
 
 #: Source types that may be kept, and followers from which a poster is credible.
@@ -55,6 +57,40 @@ SPECIFIC_ROLE = (
     r"|engineering|developer|analyst)\b|\brole:\s*\S[^\n]{2,80}|\b(?:intern|internship)\s+(?:opening|position|role)s?\b"
 )
 
+#: What a text has to hold, in lower case, wherever one of these patterns matches; texts that hold none of it are not searched.
+_NEEDED = {
+    DM_REFERRAL: ("refer",),
+    GROUP_INVITE: ("whatsapp", "telegram", "discord", "community"),
+    GENERIC_DM: ("dm me",),
+    ROLE_DUMP: ("intern", "opening", "hiring", "role"),
+    FARMER: ("referral farmer", "job aggregator", "daily job alert", "jobscan", "follow"),
+    ROUNDUP: ("mass hiring", "hiring alert", "opening", "job roundup"),
+    NAMED_HIRING: ("hiring",),
+    NAMED_FIELD: ("company",),
+}
+
+
+def _low(body: Column) -> Column:
+    """Lower case as a pattern that ignores case sees it, which takes three more letters for ASCII ones."""
+    odd = body.contains("ſ") | body.contains("ı") | body.contains("İ")
+    return F.lower(F.when(odd, F.translate(body, "ſıİ", "sii")).otherwise(body))
+
+
+def _may(low: Column, pattern: str) -> Column:
+    first, *rest = (low.contains(w) for w in _NEEDED[pattern])
+    for other in rest:
+        first = first | other
+    return first
+
+
+def _found(body: Column, low: Column, pattern: str) -> Column:
+    return _may(low, pattern) & body.rlike(pattern)
+
+
+def _read(text: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(body, low)``: the text without hashtags, and in lower case, each reckoned once a row."""
+    return bound(without_hashtags(text), lambda body: bound(_low(body), lambda low: use(body, low)))
+
 
 def _when_all(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(s)) for c, s in pairs)))
@@ -62,11 +98,14 @@ def _when_all(*pairs: tuple[Column, str]) -> Column:
 
 def roundup_signals(text: Column) -> Column:
     """Signs of a post that lists several openings: its language, a list of roles, several companies."""
-    body = without_hashtags(text)
+    return _read(text, _roundup_signals)
+
+
+def _roundup_signals(body: Column, low: Column) -> Column:
     name = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
-    named = F.concat(F.regexp_extract_all(body, F.lit(NAMED_HIRING), F.lit(1)), F.regexp_extract_all(body, F.lit(NAMED_FIELD), F.lit(1)))
+    named = F.concat(*(F.when(_may(low, p), F.regexp_extract_all(body, F.lit(p), F.lit(1))).otherwise(no_strings()) for p in (NAMED_HIRING, NAMED_FIELD)))
     several = F.size(F.array_distinct(F.transform(named, name))) >= 2
-    return _when_all((body.rlike(ROUNDUP), "roundup-language"), (body.rlike(ROLE_DUMP), "multi-role-dump"), (several, "multi-company-openings"))
+    return _when_all((_found(body, low, ROUNDUP), "roundup-language"), (_found(body, low, ROLE_DUMP), "multi-role-dump"), (several, "multi-company-openings"))
 
 
 def is_roundup(text: Column) -> Column:
@@ -75,25 +114,31 @@ def is_roundup(text: Column) -> Column:
 
 def spam_signals(text: Column, poster: Column, company: Column, kind: Column) -> Column:
     """Signals in a fixed order; ``kind`` is the class of the record's links."""
-    body = without_hashtags(text)
-    direct = body.rlike(GENERIC_DM) & (kind != "careers")
-    other = (poster != "") & (company != "") & (F.lower(F.trim(poster)) != F.lower(F.trim(company)))
-    return F.concat(
-        _when_all((body.rlike(DM_REFERRAL), "dm-for-referral"), ((kind == "junk") | body.rlike(GROUP_INVITE), "group-invite"), (direct, "generic-dm-hire")),
-        roundup_signals(text),
-        _when_all((body.rlike(FARMER), "aggregator-copy"), (direct & other, "not-hiring-company")),
-    )
+
+    def signals(body: Column, low: Column) -> Column:
+        direct = _found(body, low, GENERIC_DM) & (kind != "careers")
+        other = (poster != "") & (company != "") & (F.lower(F.trim(poster)) != F.lower(F.trim(company)))
+        return F.concat(
+            _when_all((_found(body, low, DM_REFERRAL), "dm-for-referral"), ((kind == "junk") | _found(body, low, GROUP_INVITE), "group-invite"), (direct, "generic-dm-hire")),
+            _roundup_signals(body, low),
+            _when_all((_found(body, low, FARMER), "aggregator-copy"), (direct & other, "not-hiring-company")),
+        )
+
+    return _read(text, signals)
 
 
 def heuristic_reject(text: Column, poster: Column, company: Column, kind: Column) -> Column:
     """Why a record is dropped outright; empty if it isn't."""
-    signals = spam_signals(text, poster, company, kind)
-    hard = F.filter(signals, lambda s: s.isin("group-invite", "multi-role-dump", "aggregator-copy"))
-    return (
-        F.when(kind == "junk", F.concat(F.lit("junk-link:"), F.when(F.size(signals) > 0, F.array_join(signals, ",")).otherwise(F.lit("invite-or-chat"))))
-        .when(F.size(hard) > 0, F.concat(F.lit("source-spam:"), F.array_join(hard, ",")))
-        .otherwise(F.lit(""))
-    )
+
+    def why(signals: Column) -> Column:
+        hard = F.filter(signals, lambda s: s.isin("group-invite", "multi-role-dump", "aggregator-copy"))
+        return (
+            F.when(kind == "junk", F.concat(F.lit("junk-link:"), F.when(F.size(signals) > 0, F.array_join(signals, ",")).otherwise(F.lit("invite-or-chat"))))
+            .when(F.size(hard) > 0, F.concat(F.lit("source-spam:"), F.array_join(hard, ",")))
+            .otherwise(F.lit(""))
+        )
+
+    return bound(spam_signals(text, poster, company, kind), why)
 
 
 def engagement_signal(counts: Column, links: Column) -> Column:
