@@ -158,3 +158,18 @@ def test_trees_are_handed_over_in_slices(spark):
     for most in (1, 50):
         got = [r["n"] for r in df.select("k", nodes_of(F.col("html"), most).alias("n")).orderBy("k").collect()]
         assert [[n.asDict() for n in tree] for tree in got] == want
+
+
+def _reads_in_slices(spark, tmp_path, name, capsys):
+    from pyspark.util import PythonEvalType
+
+    from siftwell.plans import registry
+
+    spark.createDataFrame([(1, CUT)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    registry.queries()[name](spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    return f"], {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan and f"], {PythonEvalType.SQL_ARROW_BATCHED_UDF}" not in plan
+
+
+def test_listings_are_read_in_slices(spark, tmp_path, capsys):
+    assert _reads_in_slices(spark, tmp_path, "job_cards_of_pages", capsys)
