@@ -173,3 +173,7 @@ def _reads_in_slices(spark, tmp_path, name, capsys):
 
 def test_listings_are_read_in_slices(spark, tmp_path, capsys):
     assert _reads_in_slices(spark, tmp_path, "job_cards_of_pages", capsys)
+
+
+def test_names_are_read_in_slices(spark, tmp_path, capsys):
+    assert _reads_in_slices(spark, tmp_path, "frequent_names_of_pages", capsys)
