@@ -6,11 +6,10 @@ name which stands on every page is no hot task, and each scope keeps its first r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import bound
-from siftwell.operators.funnel import limit_per_key
 from siftwell.sources.tree import inner_text, nodes_of
 
 #: Attributes that may carry the name of a post, what such a name holds, and parts of class names that belong to feeds.
@@ -79,9 +78,8 @@ def name_counts(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: dict[str, int] = MOST) -> DataFrame:
-    """The first names of each scope by count, ties by name."""
-    shown = None
-    for scope, n in most.items():
-        part = limit_per_key(counts.where(F.col("scope") == scope), ["scope"], [F.desc("n"), F.col("name")], n)
-        shown = part if shown is None else shown.unionByName(part)
-    return shown
+    """The first names of each scope by count, ties by name; all scopes are ranked in one pass, so that the pages behind the counts are read once."""
+    limit = F.coalesce(*(F.when(F.col("scope") == scope, n) for scope, n in most.items()))
+    w = Window.partitionBy("scope").orderBy(F.desc("n"), "name")
+    ranked = counts.where(F.col("scope").isin(*most)).withColumn("_n", F.row_number().over(w))
+    return ranked.where((F.col("_n") <= max(most.values())) & (F.col("_n") <= limit)).drop("_n")

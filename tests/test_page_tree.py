@@ -177,3 +177,21 @@ def test_listings_are_read_in_slices(spark, tmp_path, capsys):
 
 def test_names_are_read_in_slices(spark, tmp_path, capsys):
     assert _reads_in_slices(spark, tmp_path, "frequent_names_of_pages", capsys)
+
+
+def test_names_of_all_scopes_come_from_one_reading(spark, tmp_path, capsys):
+    from siftwell.plans import registry
+
+    spark.createDataFrame([(1, CUT)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    registry.queries()["frequent_names_of_pages"](spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == plan.count("+- ArrowEvalPython") == 1 and "WindowGroupLimit" in plan
+
+
+def test_each_scope_keeps_its_own_number_of_names(spark):
+    from siftwell.sources.report import most_frequent
+
+    rows = [(scope, f"n{k:02d}", 9 - k // 20) for scope in ("class", "carrier_class", "other") for k in range(60)] + [("carrier_attribute", "x", 1)]
+    got = [tuple(r) for r in most_frequent(spark.createDataFrame(rows, "scope string, name string, n long")).collect()]
+    want = [r for r in rows if r[0] == "class"][:40] + [r for r in rows if r[0] == "carrier_class"][:25] + rows[-1:]
+    assert sorted(got) == sorted(want)
