@@ -195,3 +195,17 @@ def test_each_scope_keeps_its_own_number_of_names(spark):
     got = [tuple(r) for r in most_frequent(spark.createDataFrame(rows, "scope string, name string, n long")).collect()]
     want = [r for r in rows if r[0] == "class"][:40] + [r for r in rows if r[0] == "carrier_class"][:25] + rows[-1:]
     assert sorted(got) == sorted(want)
+
+
+def test_posts_cut_anywhere_in_a_reference_equal_their_sql(spark, tmp_path):
+    from siftwell.plans import registry
+
+    duckdb = pytest.importorskip("duckdb")
+    cuts = [f"&{name[:k]}" for name in ("amp", "quot", "lt", "gt", "copy", "#39", "#x27") for k in range(len(name) + 1)]
+    pages = [(k, f"<article><h1>Fish {cut}</h1><p><b>more {cut}<br><p>and &amp;{cut[1:]};chips {cut}</p></article>") for k, cut in enumerate(cuts)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, post_text FROM ({registry.oracle_sql()['post_cards_of_pages']}) ORDER BY page_id").fetchall()
+    got = registry.queries()["post_cards_of_pages"](spark, str(tmp_path)).select("page_id", "post_text").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == want and want[3][1] == "Fish &amp more &amp and &amp;chips &amp"
